@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import split, terms
+from weftgraph.llm import sentences, split, terms
 from weftgraph.sources.tables import table
 
 
-def _split(spark: SparkSession, folder: str) -> DataFrame:
-    items = split.limited_items(table(spark, folder, "documents"), table(spark, folder, "chunks"), table(spark, folder, "size_limits"))
-    return split.split_oversized(items).filter(F.size("pieces") > 1)
+def _limited(spark: SparkSession, folder: str) -> DataFrame:
+    return split.limited_items(table(spark, folder, "documents"), table(spark, folder, "chunks"), table(spark, folder, "size_limits"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _split(spark, folder).select("item_type", "item_id").distinct()
+    """Items that come out of the split with a second piece."""
+    pieces = split.split_oversized(_limited(spark, folder)).select("item_type", "item_id", F.inline("pieces"))
+    return pieces.filter("piece_no = 1").select("item_type", "item_id").distinct()
 
 
 def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every oversized document and chunk."""
-    return _split(spark, folder).select("item_type", "item_id", "max_chars", "overlap_chars", F.inline("pieces"))
+    oversized = _limited(spark, folder).filter(F.char_length("text") > F.col("max_chars"))
+    return split.split_oversized(oversized).select("item_type", "item_id", "max_chars", "overlap_chars", F.inline("pieces"))
 
 
 def _terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +40,15 @@ def p4_terms(spark: SparkSession, folder: str) -> DataFrame:
     return _terms(spark, folder).drop("term_id")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, folder, "documents")).select("doc_id", "start_char", "end_char")
+
+
+def p8_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences themselves, in order."""
+    return sentences.split_sentences(table(spark, folder, "documents"), carry=True)
+
+
 # ---------------------------------------------------------------- the same in SQL
 
 
@@ -53,7 +64,7 @@ freq as (select f, term, count(*) as occurrences, count(distinct doc) as documen
 alldocs as (select f, count(distinct doc) as field_documents from rows where term is not null group by all),
 marked as (select f as field_name, term, occurrences, documents, field_documents, case when documents < 5 then 'rare' when documents > 0.15 * field_documents then 'common' end as mark from freq join alldocs using (f))"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_terms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_terms, p8_found, p8_sentences)}
 SQL = {
     "p1_found": f"""with lim as (select lower({_key('item_type')}) as t, {_key('source_name')} as s, min(max_chars) as m from size_limits group by all)
         select distinct 'document' as item_type, document_id as item_id from documents d join lim on t = 'document' and s = {_key('d.source')} where length(text) > m
