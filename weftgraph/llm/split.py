@@ -9,6 +9,8 @@ cut by the overlap gives the pieces. All of it runs on array functions in the JV
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +22,12 @@ CLOSERS = "\"'”’»)\\]】」』）》〉›"
 LATIN_END = ".!?…؟۔।॥"
 WIDE_END = "。！？｡…"
 
-#: Lookbehinds for the end of a piece, strongest first.
-PARAGRAPH = r"(?<=\n[ \t]{0,8}\r?\n)(?!\s)"
+#: Ends of a piece, strongest first. Each begins with a check of one character, since the
+#: regular expression tries it at every place it backs off to.
+PARAGRAPH = r"(?<=\n)(?!\s)(?<=\n[ \t]{0,8}\r?\n)"
 LINE = r"(?<=\n)(?!\s)"
-SENTENCE = rf"(?:(?<=[{LATIN_END}][{CLOSERS}]{{0,3}}\s{{1,3}})(?!\s)|(?<=[{WIDE_END}][{CLOSERS}]{{0,3}})(?![{WIDE_END}{CLOSERS}\s]))"
-CLAUSE = r"(?:(?<=[,;:،؛]\s{1,3})(?!\s)|(?<=[，、；：]))"
+SENTENCE = rf"(?:(?<=\s)(?!\s)(?<=[{LATIN_END}][{CLOSERS}]{{0,3}}\s{{1,3}})|(?<=[{WIDE_END}{CLOSERS}])(?![{WIDE_END}{CLOSERS}\s])(?<=[{WIDE_END}][{CLOSERS}]{{0,3}}))"
+CLAUSE = r"(?:(?<=\s)(?!\s)(?<=[,;:،؛]\s{1,3})|(?<=[，、；：]))"
 BLANK = r"(?<=\s)(?!\s)"
 WHOLE_CHARACTER = r"(?![\p{M}‍️])(?<!‍)"
 
@@ -41,7 +44,7 @@ def piece_pattern(first: str, later: str, least: str, lap: str) -> Column:
     def room(size: Column, floor: Column) -> Column:
         take = lambda lo: F.concat(F.lit(".{"), lo, F.lit(","), size.cast("string"), F.lit("}"))
         low = F.least(F.expr(least), size).cast("string")
-        options = [F.concat(take(F.lit("1")), F.lit(r"\z"))]
+        options = [F.concat(take(F.lit("1")), F.lit(r"+\z"))]
         floor = F.greatest(F.lit(1), floor).cast("string")
         options += [F.concat(take(low), F.lit(b)) for b in bounds]
         options += [F.concat(take(floor), F.lit(b)) for b in (*bounds, WHOLE_CHARACTER, "")]
@@ -65,19 +68,25 @@ def split_oversized(items: DataFrame, text: str = "text", limit: str = "max_char
     large = (lim > 0) & (size > lim)
     named = items.withColumn("_split", F.when(large, F.struct(lim.alias("room"), lap.alias("lap"))))
     pattern = piece_pattern("_split.room", "_split.room - _split.lap", "greatest(1, _split.lap, (_split.room - _split.lap) div 2)", "_split.lap")
-    cut = F.when(F.col("_split").isNotNull(), F.regexp_extract_all(F.col(text), pattern, F.lit(0))).when(size > 0, F.array(F.col(text))).when(size == 0, F.array().cast("array<string>"))
-    # the running ends of the consumed parts; the part itself is the new text of its piece
-    named = named.withColumn("_parts", cut)
-    ends = F.aggregate("_parts", F.array(F.lit(0)), lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(part))))
-    named = named.withColumn("_ends", ends)
+    parts = F.when(F.col("_split").isNotNull(), F.regexp_extract_all(F.col(text), pattern, F.lit(0))).when(size > 0, F.array(F.col(text))).when(size == 0, F.array().cast("array<string>"))
     back = F.coalesce(F.col("_split.lap"), F.lit(0))
 
-    def piece(part: Column, i: Column) -> Column:
-        start = F.when(i == 0, F.lit(0)).otherwise(F.get("_ends", i) - back)
-        look_back = F.substr(F.col(text), start + 1, F.get("_ends", i) - start)
-        return F.struct(i.alias("piece_no"), start.alias("start_char"), F.get("_ends", i + 1).alias("end_char"), F.concat(look_back, part).alias("piece"))
+    def cut(parts: Column) -> Column:
+        # the running ends of the parts; a part is the new text of its piece
+        ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(part))))
+
+        def piece(part: Column, i: Column, ends: Column) -> Column:
+            start = F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i) - back)
+            return F.struct(i.alias("piece_no"), start.alias("start_char"), F.get(ends, i + 1).alias("end_char"), F.concat(F.substr(F.col(text), start + 1, F.get(ends, i) - start), part).alias("piece"))
+
+        return _let(ends, lambda ends: F.transform(parts, lambda part, i: piece(part, i, ends)))
+
+    return named.withColumn("pieces", _let(parts, cut)).drop("_split")
+
 
-    return named.withColumn("pieces", F.transform("_parts", piece)).drop("_split", "_parts", "_ends")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where plain nesting would compute it in every lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def limited_items(documents: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFrame:
