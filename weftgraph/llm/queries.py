@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import sentences, split, terms
+from weftgraph.llm import leakage, packing, sentences, split, terms
 from weftgraph.sources.tables import table
 
 
@@ -40,6 +40,25 @@ def p4_terms(spark: SparkSession, folder: str) -> DataFrame:
     return _terms(spark, folder).drop("term_id")
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text assigned to containers of every kind, in tokens of a public multilingual vocabulary."""
+    sizes = packing.count_tokens(table(spark, folder, "documents"), "doc_id", "text", packing.tokenizer_path())
+    return packing.pack(sizes, table(spark, folder, "containers"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill(p6_containers(spark, folder))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaked items per document with their score, longest run and the overlap of question and answers."""
+    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.split_sentences(table(spark, folder, "documents")).select("doc_id", "start_char", "end_char")
 
@@ -64,7 +83,7 @@ freq as (select f, term, count(*) as occurrences, count(distinct doc) as documen
 alldocs as (select f, count(distinct doc) as field_documents from rows where term is not null group by all),
 marked as (select f as field_name, term, occurrences, documents, field_documents, case when documents < 5 then 'rare' when documents > 0.15 * field_documents then 'common' end as mark from freq join alldocs using (f))"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_terms, p8_found, p8_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_terms, p6_containers, p6_fill, p7_found, p7_report, p8_found, p8_sentences)}
 SQL = {
     "p1_found": f"""with lim as (select lower({_key('item_type')}) as t, {_key('source_name')} as s, min(max_chars) as m from size_limits group by all)
         select distinct 'document' as item_type, document_id as item_id from documents d join lim on t = 'document' and s = {_key('d.source')} where length(text) > m
