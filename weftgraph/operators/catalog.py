@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.keys import col, real_key
 from weftgraph.operators.skew import salted_join
 from weftgraph.operators.specs import SUPPLY_CHAIN, GraphSpec
+from weftgraph.runtime import cut
 from weftgraph.sources.tables import optional_table
 
 GRAM = 4
@@ -132,9 +133,9 @@ def resolve_values(values: DataFrame, value: str, catalog: DataFrame) -> DataFra
     first name in load order wins. ``how`` is id, name, partial or none; unresolved values have a
     null id. Ids are compared trimmed and upper-cased, names in lower case. Null values are left out.
     """
-    distinct = values.select(value).filter(F.col(value).isNotNull()).distinct().withColumn("_id", real_key(value)).withColumn("_key", F.lower(F.trim(value)))
+    distinct = cut(values.select(value).filter(F.col(value).isNotNull()).distinct()).withColumn("_id", real_key(value)).withColumn("_key", F.lower(F.trim(value)))
     ids = catalog.groupBy("id").agg(F.min_by(F.struct("label", "name"), "ord").alias("e")).select(F.col("id").alias("_id"), F.struct(F.col("id"), "e.label", "e.name").alias("by_id"))
-    names = first_names(catalog)
+    names = cut(first_names(catalog))
     exact = names.select(F.col("name_key").alias("_key"), F.struct("id", "label", "name").alias("by_name"))
     step = distinct.join(ids, "_id", "left").join(exact, "_key", "left")
     open_ = step.filter("by_id is null and by_name is null").filter(F.length("_key") >= 4).select("_key").distinct()

@@ -12,6 +12,7 @@ from weftgraph.operators.catalog import resolve_values
 from weftgraph.operators.skew import salted_join
 from weftgraph.operators.specs import SUPPLY_CHAIN, GraphSpec
 from weftgraph.plans.introspect import BRIDGE_PAIRS, GLOSSES, pair_key
+from weftgraph.runtime import cut
 
 # Predicates that mean the same, by canonical form.
 SYNONYMS = {
@@ -96,7 +97,7 @@ def gate(triples: DataFrame, catalog: DataFrame, open_entities: bool = False) ->
     known = resolve_values(values, "value", catalog)
     for side in ("subject", "object"):
         mine = known.select(F.col("value").alias(f"{side}_id"), F.col("id").alias(side), F.col("label").alias(f"{side}_label"), F.col("name").alias("_name"), F.col("how").alias("_how"))
-        rows = salted_join(rows, mine, [f"{side}_id"], F.struct("source_chunk_id", "predicate_cue"), how="left")
+        rows = salted_join(rows, mine, [f"{side}_id"], F.struct("source_chunk_id", "predicate_cue"), how="left", counted=triples.select(f"{side}_id"))
         text = F.lower(F.coalesce("chunk_text", F.lit("")))
         as_word = F.regexp_like(text, F.concat(F.lit(r"(?U)\b\Q"), F.lower(F.coalesce(side, F.lit("\0"))), F.lit(r"\E\b")))
         how = F.when(F.col("_how") == "id", F.when(as_word, "id").when(F.contains(text, F.lower("_name")), "name").otherwise("id")).when(F.col("_how").isin("name", "partial"), "name").otherwise("none")
@@ -106,7 +107,8 @@ def gate(triples: DataFrame, catalog: DataFrame, open_entities: bool = False) ->
             new = F.col(side).isNull() & synth.isNotNull()
             rows = rows.withColumn(f"{side}_how", F.when(new, "extracted").otherwise(F.col(f"{side}_how"))).withColumn(f"{side}_label", F.when(new, EXTRACTED).otherwise(F.col(f"{side}_label"))).withColumn(side, F.when(new, synth).otherwise(F.col(side)))
     verdict = F.when(F.col("_loop"), "empty_or_loop").when(F.col("subject").isNull() | F.col("object").isNull(), "unresolved").when(F.col("subject") == F.col("object"), "canonical_loop").otherwise("pass")
-    return rows.withColumn("gate", verdict).withColumn("canon_predicate", canonical_predicate("predicate")).drop("_loop")
+    # what follows reads the gated triples several times, and they stand for the dearest step
+    return cut(rows.withColumn("gate", verdict).withColumn("canon_predicate", canonical_predicate("predicate")).drop("_loop"))
 
 
 def quarantine(gated: DataFrame) -> DataFrame:

@@ -17,14 +17,16 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = 0.02) -> DataFrame:
     return counted.join(F.broadcast(total), F.col("_rows") >= F.greatest(F.lit(2.0), F.col("_all") * share)).select(*keys)
 
 
-def salted_join(big: DataFrame, side: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = 32, share: float = 0.02) -> DataFrame:
+def salted_join(big: DataFrame, side: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = 32, share: float = 0.02, counted: DataFrame | None = None) -> DataFrame:
     """Join ``side`` to ``big`` on ``keys``; rows of hot keys of ``big`` are spread over ``salts`` partitions.
 
+    Hot keys are counted in ``counted`` where it is given: a cheaper table with the same key
+    columns, such as the one ``big`` was made from.
     Only the rows of ``side`` with a hot key are repeated. ``spread`` must be a deterministic
     column of ``big`` with many values. ``how``: inner, left, left_semi or left_anti.
     Null keys match nothing; duplicates on either side behave as in a plain join.
     """
-    hot = F.broadcast(hot_keys(big, keys, share).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(big if counted is None else counted, keys, share).withColumn("_hot", F.lit(True)))
     left = big.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = side.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")

@@ -12,6 +12,7 @@ from weftgraph.operators.specs import SUPPLY_CHAIN
 from weftgraph.plans import introspect
 from weftgraph.plans import sql_base as S
 from weftgraph.plans.pattern import Compiler
+from weftgraph.runtime import cut
 from weftgraph.sources.tables import table
 
 QUERIES = {}
@@ -33,7 +34,7 @@ def query(sql: str | None = None):
 
 def project_catalog(spark: SparkSession, folder: str) -> DataFrame:
     known = catalog.build_catalog(spark, folder, extra={"suppliers": graph_build.derived_suppliers(spark, folder)})
-    return known.unionByName(catalog.mentioned_entities(table(spark, folder, "extracted_triples")))
+    return cut(known.unionByName(catalog.mentioned_entities(table(spark, folder, "extracted_triples"))))
 
 
 def gated_triples(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,7 +46,7 @@ def normalised_triples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def operations(spark: SparkSession, folder: str) -> DataFrame:
-    return extraction.promoted_operations(extraction.score(normalised_triples(spark, folder)))
+    return cut(extraction.promoted_operations(extraction.score(normalised_triples(spark, folder))))
 
 
 def merged_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +59,7 @@ def fused_graph(spark: SparkSession, folder: str) -> Graph:
     ops = operations(spark, folder)
     key = ["src_label", "src", "rel_type", "dst_label", "dst"]
     edges = ops.groupBy(*key).agg(F.min_by(F.struct("confidence", "source_doc", "source_chunk_id", "evidence"), "ord").alias("e")).select(*key, "e.*")
+    edges = cut(edges)  # one edge set per label pair reads it
     known = catalog.mentioned_entities(table(spark, folder, "extracted_triples"))
     for label in catalog.ID_LABELS.values():
         graph.nodes[label], graph.names[label] = known.filter(F.col("label") == label).select("id"), None
@@ -134,7 +136,7 @@ def node_report(spark: SparkSession, folder: str) -> DataFrame:
     return graph_build.node_report(graph_build.supply_chain(spark, folder).all_nodes())
 
 
-@query("select product_id, list_sort(list_filter([case when line_id <> '' then 'line_id=' || line_id end, case when product_name <> '' then 'product_name=' || product_name end, case when safety_stock is not null then 'safety_stock=' || safety_stock end], x -> x is not null)) as props from products")
+@query("select product_id, list_sort(list_filter([case when line_id <> '' then 'line_id=' || line_id end, case when product_name <> '' then 'product_name=' || product_name end, case when safety_stock is not null then 'safety_stock=' || safety_stock end], lambda x: x is not null)) as props from products")
 def node_props_map(spark: SparkSession, folder: str) -> DataFrame:
     """Properties of a row without its missing and empty values."""
     rows = table(spark, folder, "products").select("product_id", "line_id", "product_name", "safety_stock")
@@ -166,7 +168,7 @@ _SUPPORT_SQL = f"{_DEDUP_SQL}, back as (select distinct rel_type from kept where
 
 
 def _catalog(spark: SparkSession, folder: str) -> DataFrame:
-    return introspect.relationship_catalog(merged_edges(spark, folder))
+    return cut(introspect.relationship_catalog(merged_edges(spark, folder)))
 
 
 @query(f"with {_CATALOG_SQL} select * from relcat")
@@ -250,10 +252,10 @@ def path_edge_property(spark: SparkSession, folder: str) -> DataFrame:
 _EXTRACTED_SQL = f"{S.OPS}, ex as (select src_label, src, rel_type, dst_label, dst, arg_min(row(confidence, source_chunk_id), ord) as e from ops group by all)"
 
 
-@query(f"with {_EXTRACTED_SQL} select case when src_label = 'PurchaseOrder' then src else dst end as po, case when src_label = 'PurchaseOrder' then dst else src end as anomaly, rel_type as rel, e[2] as source_chunk_id from ex where ((src_label = 'PurchaseOrder' and dst_label = 'AnomalyEvent') or (src_label = 'AnomalyEvent' and dst_label = 'PurchaseOrder')) and e[1] >= 0.6")
+@query(f"with {_EXTRACTED_SQL} select case when src_label = 'Contract' then src else dst end as contract, case when src_label = 'Contract' then dst else src end as product, rel_type as rel, e[2] as source_chunk_id from ex where ((src_label = 'Contract' and dst_label = 'Product') or (src_label = 'Product' and dst_label = 'Contract')) and e[1] >= 0.6")
 def path_untyped(spark: SparkSession, folder: str) -> DataFrame:
     """A hop without a relationship type, told apart by origin and confidence."""
-    return run_pattern(fused_graph(spark, folder), "MATCH (po:PurchaseOrder)-[r]-(ae:AnomalyEvent) WHERE r.origin = 'extracted' AND r.confidence >= 0.6 RETURN po.purchase_order_id AS po, ae AS anomaly, type(r) AS rel, r.source_chunk_id AS source_chunk_id")
+    return run_pattern(fused_graph(spark, folder), "MATCH (c:Contract)-[r]-(p:Product) WHERE r.origin = 'extracted' AND r.confidence >= 0.6 RETURN c.contract_id AS contract, p AS product, type(r) AS rel, r.source_chunk_id AS source_chunk_id")
 
 
 @query(f"with {S.GRAPH} select s.dst as supplier, p.dst as line, count(*) as n_products from edges s join edges p on s.src = p.src and p.rel_type = 'ON_LINE' where s.rel_type = 'SUPPLIED_BY' group by all")

@@ -334,7 +334,7 @@ def parse(text: str) -> Query:
 def _walk(e: tuple | None):
     if isinstance(e, tuple):
         yield e
-        for x in e[1:]:
+        for x in e:
             if isinstance(x, tuple):
                 yield from _walk(x)
 
