@@ -31,15 +31,15 @@ def disjoint_validity(versions: DataFrame, entity: list[str], rank: Column, buck
         held = held.filter(F.col(c).isNotNull())
     lo, hi = F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width)
     wanted = F.filter(F.array(*map(F.lit, buckets)) if buckets else F.array().cast("array<int>"), lambda b: (b >= lo) & (b <= hi))
-    cut = held.withColumn("rank", rank).withColumn("bucket", F.explode(wanted)).select(*entity, "bucket", F.greatest("start", F.col("bucket") * width).cast("int").alias("s"), F.least("stop", (F.col("bucket") + 1) * width).cast("int").alias("e"), "rank")
-    best = cut.groupBy(*entity, "bucket", "s", "e").agg(F.max("rank").alias("rank"))
-    grouped = best.groupBy(*entity, "bucket").agg(F.collect_list(F.struct("s", "e", "rank")).alias("held"))
-    times = F.array_sort(F.array_distinct(F.concat(F.transform("held", lambda h: h["s"]), F.transform("held", lambda h: h["e"]))))
+    cut = held.withColumn("_rank", rank).withColumn("_bucket", F.explode(wanted)).select(*entity, "_bucket", F.greatest("start", F.col("_bucket") * width).cast("int").alias("_s"), F.least("stop", (F.col("_bucket") + 1) * width).cast("int").alias("_e"), "_rank")
+    best = cut.groupBy(*entity, "_bucket", "_s", "_e").agg(F.max("_rank").alias("_rank"))
+    grouped = best.groupBy(*entity, "_bucket").agg(F.collect_list(F.struct("_s", "_e", "_rank")).alias("_held"))
+    times = F.array_sort(F.array_distinct(F.concat(F.transform("_held", lambda h: h["_s"]), F.transform("_held", lambda h: h["_e"]))))
     segment = F.transform(
-        F.sequence(F.lit(1), F.size("times") - 1),
-        lambda i: F.struct(F.element_at("times", i).alias("seg_from"), F.element_at("times", i + 1).alias("seg_to"), F.array_max(F.transform(F.filter("held", lambda h: (h["s"] <= F.element_at("times", i)) & (h["e"] > F.element_at("times", i))), lambda h: h["rank"])).alias("winner")),
+        F.sequence(F.lit(1), F.size("_times") - 1),
+        lambda i: F.struct(F.element_at("_times", i).alias("seg_from"), F.element_at("_times", i + 1).alias("seg_to"), F.array_max(F.transform(F.filter("_held", lambda h: (h["_s"] <= F.element_at("_times", i)) & (h["_e"] > F.element_at("_times", i))), lambda h: h["_rank"])).alias("winner")),
     )
-    return grouped.withColumn("times", times).select(*entity, "bucket", F.inline(F.filter(segment, lambda s: s["winner"].isNotNull())))
+    return grouped.withColumn("_times", times).select(*entity, "_bucket", F.inline(F.filter(segment, lambda s: s["winner"].isNotNull())))
 
 
 def as_known_at(events: DataFrame, versions: DataFrame, entity: list[str], day: str, event_key: str, rank: Column, how: str = "inner", width: int = 32) -> DataFrame:
@@ -49,19 +49,12 @@ def as_known_at(events: DataFrame, versions: DataFrame, entity: list[str], day:
     Events with a null day or entity key have no version. Repeated events stay repeated.
     Hot entities are spread by ``event_key``.
     """
-    dated = events.withColumn("bucket", F.floor(F.col(day) / width).cast("int"))
-    buckets = sorted(r[0] for r in dated.select("bucket").distinct().na.drop().collect())  # at most the calendar / width
+    dated = events.withColumn("_bucket", F.floor(F.col(day) / width).cast("int"))
+    buckets = sorted(r[0] for r in dated.select("_bucket").distinct().na.drop().collect())  # at most the calendar / width
     segments = disjoint_validity(versions, entity, rank, buckets, width)
-    if how == "left":
-        hit = as_known_at_joined(dated, segments, entity, day, event_key)
-        keys = [c for c in events.columns if c != "winner"]
-        return hit.select(*keys, "winner")
-    return as_known_at_joined(dated, segments, entity, day, event_key).filter(F.col("winner").isNotNull()).drop("bucket")
-
-
-def as_known_at_joined(dated: DataFrame, segments: DataFrame, entity: list[str], day: str, event_key: str) -> DataFrame:
-    """At most ``width`` segments per event meet in the join; one contains the day, so they fold into an array lookup."""
-    folded = segments.groupBy(*entity, "bucket").agg(F.collect_list(F.struct("seg_from", "seg_to", "winner")).alias("segments"))
-    joined = salted_join(dated, folded, [*entity, "bucket"], F.col(event_key), how="left")
-    inside = F.filter("segments", lambda s: (s["seg_from"] <= F.col(day)) & (F.col(day) < s["seg_to"]))
-    return joined.withColumn("winner", F.try_element_at(inside, F.lit(1))["winner"]).drop("segments")
+    # at most ``width`` segments per entity and bucket, of which one contains the day
+    folded = segments.groupBy(*entity, "_bucket").agg(F.collect_list(F.struct("seg_from", "seg_to", "winner")).alias("_segments"))
+    joined = salted_join(dated, folded, [*entity, "_bucket"], F.col(event_key), how="left")
+    inside = F.filter("_segments", lambda s: (s["seg_from"] <= F.col(day)) & (F.col(day) < s["seg_to"]))
+    known = joined.withColumn("winner", F.try_element_at(inside, F.lit(1))["winner"]).select(*events.columns, "winner")
+    return known if how == "left" else known.filter(F.col("winner").isNotNull())
