@@ -55,6 +55,17 @@ def test_lines_of_their_own():
     assert cut(text) == ["Prose here.", "More prose.", "Root cause", "1) Order one slipped. It was late", "2) No. 3 failed", "- first item", "- second. Item", "2024-01-02 03:04 EQ1 code=3 load=1.5", "2024-01-02 03:05 EQ1 code=4 load=1.5", "0a1b2c3d" * 8, "ffeeddcc" * 8, "Open points", "No mark at the end"]
 
 
+def test_a_missing_mark_before_a_bracket_that_is_a_sentence():
+    assert cut("It hit Rye (PRD1) (The mechanic booked a truck at 20:42.) On Monday it ran.") == ["It hit Rye (PRD1)", "(The mechanic booked a truck at 20:42.)", "On Monday it ran."]
+    assert cut("They went (see the note of Monday.) and left. Ok (Acme Polymers Tools Inc.) said.") == ["They went (see the note of Monday.) and left.", "Ok (Acme Polymers Tools Inc.) said."]
+    assert cut("Tags: le, de, a. Dr. Vo came.") == ["Tags: le, de, a.", "Dr. Vo came."]
+
+
+def test_title_lines_after_items_and_short_wrapped_lines():
+    assert cut("* One thing\nParts and cost\nFollow-up\n\nProse.") == ["* One thing", "Parts and cost", "Follow-up", "Prose."]
+    assert cut("With  hopper\n435\nhalf full,  the\nLift lost. Then it\nstopped.") == ["With  hopper\n435\nhalf full,  the\nLift lost.", "Then it\nstopped."]
+
+
 def test_wrapping_and_invisible_characters_do_not_split():
     assert cut("The pallets came\nfrom Halbo Tools Inc. and\n33. of the list was f​i­ne. Next\tone.") == ["The pallets came\nfrom Halbo Tools Inc. and\n33. of the list was f​i­ne.", "Next\tone."]
 

@@ -183,6 +183,8 @@ class _Span:
                 continue
             c = text[i]
             if i in opens:
+                if not depth and c in "(（" and self.aside(i, opens[i]):
+                    self.emit(i)
                 depth += 1
             elif i in closes:
                 depth -= 1
@@ -231,6 +233,16 @@ class _Span:
             return False
         return len(line) + 1 + len(m.group()) <= 0.7 * self.width and self.width <= 100 and "-\n" not in text[self.lo : hi]
 
+    def aside(self, i: int, close: int) -> bool:
+        """Whether a bracket is a sentence of its own, so that what stands before it ends even without a mark."""
+        text = self.text
+        if close - i < 20 or text[close - 1] not in ".!?" or not text[i + 1].isupper() or not text[i - 1 : i].isspace():
+            return False
+        k = _SPACE.match(text, close + 1, self.hi).end()
+        if k < self.hi and _kind(text[k]) not in "Uoc" or text[close - 1] == "." and _lookup(_word_before(text, i, close - 1)[1].lower()):
+            return False
+        return text[self.start : i].strip() != ""
+
     def thai_break(self, i: int, after: int) -> bool:
         kind = _kind(self.text[after])
         thai = sum("฀" <= c <= "๿" for c in self.text[self.start : i])
@@ -324,6 +336,8 @@ class _Span:
             after_number = re.search(r"\d[   ]?$", text[max(lo, w - 3) : w])
             if after_number and (word.islower() or kind != "U" or word in "VAWCLKNJM"):
                 return None
+            if mark is None and word.islower() and kind == "U" and not re.search(r"\w\.\s*$", text[max(lo, w - 4) : w]) and text[k + 1 : k + 2] != ".":
+                return None  # a word of one letter
             if mark is None and not (word.isupper() and kind in "Uo" or kind == "l" or word.isalpha() and kind in "dU"):
                 return None
             return False
@@ -353,6 +367,8 @@ def _units(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
         lines.append((p, e))
         p = e + 1
     prose = -1
+    # such lines are set off from prose, so a block holds either them or prose
+    titles = all(_MARKER.match(text, a, b) or _LOG.match(text, a, b) or _DUMP.match(text, a, b) or _heading(text[a:b]) and not _closes_line(text, b) for a, b in lines if text[a:b].strip())
     previous, last_end = "start", lo
 
     def flush(end: int) -> None:
@@ -373,9 +389,7 @@ def _units(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
             kind = "item"
         elif previous == "item" and text[a:b].lstrip()[:1].islower() and not _closes_line(text, last_end):
             kind = "more"
-        elif n + 1 < len(lines) and previous != "prose" and _heading(text[a:b]) and not _closes_line(text, b) and (_item_after_heading(text, *lines[n + 1]) or _LOG.match(text, *lines[n + 1]) or _heading(text[slice(*lines[n + 1])])):
-            kind = "heading"
-        elif previous == "heading" and b - a <= 60 and not _closes_line(text, b) and _heading(text[a:b]):
+        elif titles or n + 1 < len(lines) and previous != "prose" and _heading(text[a:b]) and not _closes_line(text, b) and (_item_after_heading(text, *lines[n + 1]) or _LOG.match(text, *lines[n + 1])):
             kind = "heading"
         if kind == "prose":
             if prose < 0:
