@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftgraph.operators.skew import salted_join
+from weftgraph.operators.skew import hot_keys, salted_join
 
 #: Day number past which nothing is asked; stands for an open end.
 FOREVER = 2932897
@@ -22,7 +23,8 @@ FOREVER = 2932897
 def disjoint_validity(versions: DataFrame, entity: list[str], rank: Column, buckets: list[int], width: int = 32) -> DataFrame:
     """Versions (``entity``, start, stop in day numbers, half-open) → disjoint intervals per entity and bucket.
 
-    ``rank`` orders versions that hold at the same time; the greatest wins and comes out as
+    Versions of one entity stay in the partition they are in: where ``versions`` is partitioned by
+    ``entity``, no row moves. ``rank`` orders versions that hold at the same time; the greatest wins and comes out as
     ``winner``. Only buckets in ``buckets`` (those that hold events; bounded by the calendar)
     are produced. Null entity keys, null ends and empty intervals are left out.
     """
@@ -42,19 +44,38 @@ def disjoint_validity(versions: DataFrame, entity: list[str], rank: Column, buck
     return grouped.withColumn("_times", times).select(*entity, "_bucket", F.inline(F.filter(segment, lambda s: s["winner"].isNotNull())))
 
 
-def as_known_at(events: DataFrame, versions: DataFrame, entity: list[str], day: str, event_key: str, rank: Column, how: str = "inner", width: int = 32) -> DataFrame:
+def _fold(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """The segments of each entity and bucket as one array, of ``width`` at most."""
+    return segments.groupBy(*keys).agg(F.collect_list(F.struct("seg_from", "seg_to", "winner")).alias("_segments"))
+
+
+def as_known_at(events: DataFrame, versions: DataFrame, entity: list[str], day: str, event_key: str, rank: Column, how: str = "inner", width: int = 32, share: float = 0.002) -> DataFrame:
     """Each event with the ``winner`` of its entity that was valid and known on ``day`` (a day number).
 
     ``how`` inner leaves events without a version out, left keeps them with a null winner.
     Events with a null day or entity key have no version. Repeated events stay repeated.
-    Hot entities are spread by ``event_key``.
+    Both sides move once, by entity. Entities with ``share`` or more of the versions or events (at
+    most 2 / ``share`` of them) are spread by bucket instead, their versions combined before they
+    move and their events salted by ``event_key``.
     """
     dated = events.withColumn("_bucket", F.floor(F.col(day) / width).cast("int"))
     buckets = sorted(r[0] for r in dated.select("_bucket").distinct().na.drop().collect())  # at most the calendar / width
-    segments = disjoint_validity(versions, entity, rank, buckets, width)
-    # at most ``width`` segments per entity and bucket, of which one contains the day
-    folded = segments.groupBy(*entity, "_bucket").agg(F.collect_list(F.struct("seg_from", "seg_to", "winner")).alias("_segments"))
-    joined = salted_join(dated, folded, [*entity, "_bucket"], F.col(event_key), how="left")
+    hot = {tuple(r) for side in (versions, events) for r in hot_keys(side, entity, share).collect()}  # at most 2 / share entities
+    schema = T.StructType([versions.schema[c] for c in entity])
+    parts = []
+    if hot:
+        spread = F.broadcast(versions.sparkSession.createDataFrame(sorted(hot), schema))
+        cold_events, hot_events = dated.join(spread, entity, "left_anti"), dated.join(spread, entity, "left_semi")
+        cold_versions, hot_versions = versions.join(spread, entity, "left_anti"), versions.join(spread, entity, "left_semi")
+        folded = _fold(disjoint_validity(hot_versions, entity, rank, buckets, width), [*entity, "_bucket"])
+        parts.append(salted_join(hot_events, folded, [*entity, "_bucket"], F.col(event_key), how="left"))
+    else:
+        cold_events, cold_versions = dated, versions
+    segments = disjoint_validity(cold_versions.repartition(*entity), entity, rank, buckets, width)
+    # all buckets of an entity in one row: bounded by the calendar, and the join needs the entity alone
+    by_bucket = _fold(segments, [*entity, "_bucket"]).groupBy(*entity).agg(F.map_from_entries(F.collect_list(F.struct("_bucket", "_segments"))).alias("_buckets"))
+    parts.append(cold_events.join(by_bucket, entity, "left").withColumn("_segments", F.try_element_at("_buckets", F.col("_bucket"))).drop("_buckets"))
+    joined = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     inside = F.filter("_segments", lambda s: (s["seg_from"] <= F.col(day)) & (F.col(day) < s["seg_to"]))
     known = joined.withColumn("winner", F.try_element_at(inside, F.lit(1))["winner"]).select(*events.columns, "winner")
     return known if how == "left" else known.filter(F.col("winner").isNotNull())
