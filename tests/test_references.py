@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from weftgraph.operators import references as R
 
 T = dt.datetime
@@ -24,7 +26,9 @@ def test_reasons_in_order(spark):
     assert got == {"A": "deleted", "B": "late", "D": "missing", "E": "deleted"}
 
 
-def test_cascade_inherits_to_fixpoint_and_survives_cycles_and_null_keys(spark):
+@pytest.mark.parametrize("bound", [R.BROADCAST_KEYS, 0])
+def test_cascade_inherits_to_fixpoint_and_survives_cycles_and_null_keys(spark, monkeypatch, bound):
+    monkeypatch.setattr(R, "BROADCAST_KEYS", bound)
     seen = spark.createDataFrame([(t, k, T(2020, 1, 1), T(2020, 1, 1), None, 1, 0) for t, k in (("b", "B1"), ("c", "C1"), ("d", "D1"))], "target_table string, target_key string, first_seen timestamp_ntz, last_seen timestamp_ntz, gone timestamp_ntz, present int, removed int")
     edges = [("b", "B1", "x", "NONE", T(2021, 1, 1)), ("c", "C1", "b", "B1", None), ("d", "D1", "c", "C1", T(2021, 1, 1)), ("b", "B1", "d", "D1", T(2021, 1, 1)), ("e", None, "c", "C1", T(2021, 1, 1))]
     refs = spark.createDataFrame(edges, "ref_table string, row_key string, target_table string, target_key string, recorded_at timestamp_ntz")
@@ -45,7 +49,12 @@ def test_counts_by_month(spark):
     assert got == [("2020-01", "direct", 2), ("2020-02", "direct", 1)]
 
 
-def test_hot_key_join_equals_plain_join(spark):
+@pytest.mark.parametrize("least", [20, 10**9])
+def test_hot_key_join_equals_plain_join(spark, monkeypatch, least):
+    from weftgraph.operators import skew
+
+    monkeypatch.setattr(skew, "LOOK", 1.0)
+    monkeypatch.setattr(skew, "LEAST", least)
     from pyspark.sql import functions as F
 
     from weftgraph.operators.skew import salted_join
@@ -54,3 +63,5 @@ def test_hot_key_join_equals_plain_join(spark):
     side = spark.createDataFrame([(1, "a"), (1, "b"), (400, "c"), (None, "n")], "k long, w string")
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert sorted(map(str, salted_join(big, side, ["k"], F.col("v"), how=how, salts=4).collect())) == sorted(map(str, big.join(side, "k", how).collect()))
+        assert sorted(map(str, salted_join(big, side, ["k"], F.col("v"), how=how, salts=4, distinct=True).collect())) == sorted(map(str, big.distinct().join(side, "k", how).collect()))
+    assert skew.hot_keys(big, ["k"]) == ([(1,)] if least == 20 else [])

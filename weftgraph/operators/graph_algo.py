@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import real_key
 from weftgraph.operators.catalog import id_tokens
-from weftgraph.operators.skew import hot_keys, salted_join
+from weftgraph.operators.skew import hot_frame, hot_keys, salted_join
 from weftgraph.runtime import cut
 
 #: Scores are rounded to so many places before they are ranked, so that the order of summation doesn't matter.
@@ -60,12 +60,12 @@ def pagerank(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, alpha: float
     teleport = cut(valid.withColumn("w", F.lit(1.0) / F.count("*").over(Window.partitionBy(question))))
     adj = adjacency(edges)
     degree = adj.groupBy("node").agg(F.count("*").alias("deg"))
-    hubs = cut(hot_keys(adj, ["node"]).withColumn("_hub", F.lit(True)))
+    hubs = hot_frame(adj, ["node"], hot_keys(adj, ["node"]))
     spread = 32
-    steps = cut(salted_join(adj, degree, ["node"], F.col("other"), how="inner").join(F.broadcast(hubs), "node", "left").withColumn("_salt", F.when(F.col("_hub"), F.pmod(F.xxhash64("other"), F.lit(spread))).otherwise(0).cast("int")).drop("_hub"))
+    steps = cut(salted_join(adj, degree, ["node"], F.col("other"), how="inner").join(hubs, "node", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("other"), F.lit(spread))).otherwise(0).cast("int")).drop("_hot"))
     rank = teleport.select(question, "node", F.col("w").alias("score"))
     for _ in range(iterations):
-        salted = rank.join(F.broadcast(hubs), "node", "left").withColumn("_salt", F.explode(F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0))))).drop("_hub")
+        salted = rank.join(hubs, "node", "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
         moved = salted.join(steps, ["node", "_salt"]).select(question, F.col("other").alias("node"), ((1 - alpha) * F.col("score") / F.col("deg")).alias("score"))
         lost = rank.join(degree.select("node"), "node", "left_anti").groupBy(question).agg(F.sum("score").alias("lost"))
         back = teleport.join(lost, question, "left").select(question, "node", (alpha * F.col("w") + (1 - alpha) * F.coalesce("lost", F.lit(0.0)) * F.col("w")).alias("score"))

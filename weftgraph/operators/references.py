@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import norm_key, real_key, reference_key
@@ -19,6 +19,9 @@ from weftgraph.runtime import cut
 #: ref_table, row_key, target_table, target_key, recorded_at
 REF_COLUMNS = ["ref_table", "row_key", "target_table", "target_key", "recorded_at"]
 
+#: Orphaned keys (two short strings each, so some 10 MB) that a round hands to every executor; more are joined by shuffle.
+BROADCAST_KEYS = 200_000
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -39,7 +42,7 @@ class Target:
 
 
 def references(rows: DataFrame, ref: Reference) -> DataFrame:
-    """The references of one foreign key in the columns ``REF_COLUMNS``, repeated rows once.
+    """The references of one foreign key in the columns ``REF_COLUMNS``, as delivered (``judge`` counts repeated rows once).
 
     Null, blank and ``ALL`` are no references. Row keys are given trimmed and upper-cased.
     """
@@ -48,7 +51,6 @@ def references(rows: DataFrame, ref: Reference) -> DataFrame:
     return (
         rows.select(F.lit(ref.ref_table).alias("ref_table"), norm_key(ref.row_key).alias("row_key"), F.lit(ref.target_table).alias("target_table"), reference_key(ref.fk).alias("target_key"), F.col("recorded_at"))
         .filter(F.col("target_key").isNotNull())
-        .distinct()
     )
 
 
@@ -70,21 +72,17 @@ def target_spans(tables: dict[str, DataFrame], targets: list[Target], removed: D
 
 
 def judge(refs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each reference with its ``reason``: deleted, missing, late, or null where the target is valid.
+    """Each distinct reference with its ``reason``: deleted, missing, late, or null where the target is valid.
 
     ``deleted`` goes before ``missing`` before ``late``. A removal without a time counts as
     after every row. A referring row without recorded_at is never late.
     """
-    joined = salted_join(refs, spans, ["target_table", "target_key"], F.struct("ref_table", "row_key"))
+    joined = salted_join(refs, spans, ["target_table", "target_key"], F.struct("ref_table", "row_key"), distinct=True)
     deleted = (F.col("removed") == 1) & ~F.coalesce(F.col("last_seen") > F.col("gone"), F.lit(False))
     reason = F.when(deleted, "deleted").when(F.coalesce(F.col("present"), F.lit(0)) == 0, "missing").when(F.col("first_seen") > F.col("recorded_at"), "late")
     return joined.select(*REF_COLUMNS, reason.alias("reason"))
 
 
-def _null_safe(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit("\0"))
-
-
 def orphan_cascade(refs: DataFrame, spans: DataFrame, max_rounds: int = 32) -> DataFrame:
     """Direct and inherited orphans over the whole foreign-key graph, to the fixpoint.
 
@@ -97,21 +95,27 @@ def orphan_cascade(refs: DataFrame, spans: DataFrame, max_rounds: int = 32) -> D
     """
     judged = cut(judge(refs, spans))
     found = judged.filter(F.col("reason").isNotNull()).withColumn("level", F.lit(0))
-    rest = judged.filter(F.col("reason").isNull())
+    rest = judged.filter(F.col("reason").isNull()).drop("reason")
     frontier = found
     for level in range(1, max_rounds + 1):
-        orphaned = frontier.select(F.col("ref_table").alias("target_table"), F.col("row_key").alias("target_key")).distinct()
-        reached = salted_join(rest, orphaned, ["target_table", "target_key"], F.struct("ref_table", "row_key"), how="left_semi")
-        frontier = cut(reached.withColumn("reason", F.lit("inherited")).withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
+        orphaned = cut(frontier.select(F.col("ref_table").alias("target_table"), F.col("row_key").alias("target_key")).filter("target_key is not null").distinct())
+        reached = cut(_meet(rest, orphaned, ["target_table", "target_key"], "left_semi"))
+        if reached.isEmpty():
             return found
+        frontier = reached.withColumn("reason", F.lit("inherited")).withColumn("level", F.lit(level))
         found = found.unionByName(frontier)
-        # all rows with the same four keys are reached in the same round, so the time is no part of the match
-        hit = frontier.select("ref_table", _null_safe("row_key").alias("_row"), "target_table", "target_key").distinct()
-        rest = cut(rest.withColumn("_row", _null_safe("row_key")).join(hit, ["ref_table", "_row", "target_table", "target_key"], "left_anti").drop("_row"))
+        # every reference to an orphaned record was just listed, whatever its own key or time
+        rest = cut(_meet(rest, orphaned, ["target_table", "target_key"], "left_anti"))
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
+def _meet(refs: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """References whose target is among ``keys``, or is not: by broadcast up to BROADCAST_KEYS counted keys, else salted."""
+    if keys.count() <= BROADCAST_KEYS:
+        return refs.join(F.broadcast(keys), on, how)
+    return salted_join(refs, keys, on, F.struct("ref_table", "row_key"), how=how)
+
+
 def orphan_counts(orphans: DataFrame) -> DataFrame:
     """Orphans per table, target, reason, kind (direct or inherited) and month of recording."""
     return orphans.groupBy("ref_table", "target_table", "reason", F.when(F.col("level") == 0, "direct").otherwise("inherited").alias("kind"), F.date_format("recorded_at", "yyyy-MM").alias("ref_month")).agg(F.count("*").alias("n_refs"), F.countDistinct("row_key").alias("n_rows"))
