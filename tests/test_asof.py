@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.operators import skew
 from weftgraph.operators.asof import FOREVER, as_known_at
 
 EV = "id string, p string, s string, day int"
@@ -23,7 +25,10 @@ def brute(events, versions, how="inner"):
     return sorted(out)
 
 
-def test_equals_brute_force_with_hot_pair_ties_and_open_ends(spark):
+@pytest.mark.parametrize("look", [0.02, 1.0])
+def test_equals_brute_force_with_hot_pair_ties_and_open_ends(spark, monkeypatch, look):
+    monkeypatch.setattr(skew, "LOOK", look)
+    monkeypatch.setattr(skew, "LEAST", 1)
     rng = random.Random(1)
     versions = []
     for n in range(300):

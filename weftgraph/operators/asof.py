@@ -12,15 +12,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from weftgraph.operators.skew import hot_keys, salted_join
+from weftgraph.operators.skew import hot_frame, hot_keys, salted_join
 
 #: Day number past which nothing is asked; stands for an open end.
 FOREVER = 2932897
 
 
-def disjoint_validity(versions: DataFrame, entity: list[str], rank: Column, buckets: list[int], width: int = 32) -> DataFrame:
+def disjoint_validity(versions: DataFrame, entity: list[str], rank: Column, buckets: list[int], width: int = 128) -> DataFrame:
     """Versions (``entity``, start, stop in day numbers, half-open) → disjoint intervals per entity and bucket.
 
     Versions of one entity stay in the partition they are in: where ``versions`` is partitioned by
@@ -49,7 +48,7 @@ def _fold(segments: DataFrame, keys: list[str]) -> DataFrame:
     return segments.groupBy(*keys).agg(F.collect_list(F.struct("seg_from", "seg_to", "winner")).alias("_segments"))
 
 
-def as_known_at(events: DataFrame, versions: DataFrame, entity: list[str], day: str, event_key: str, rank: Column, how: str = "inner", width: int = 32, share: float = 0.002) -> DataFrame:
+def as_known_at(events: DataFrame, versions: DataFrame, entity: list[str], day: str, event_key: str, rank: Column, how: str = "inner", width: int = 128, share: float = 0.002) -> DataFrame:
     """Each event with the ``winner`` of its entity that was valid and known on ``day`` (a day number).
 
     ``how`` inner leaves events without a version out, left keeps them with a null winner.
@@ -60,11 +59,10 @@ def as_known_at(events: DataFrame, versions: DataFrame, entity: list[str], day:
     """
     dated = events.withColumn("_bucket", F.floor(F.col(day) / width).cast("int"))
     buckets = sorted(r[0] for r in dated.select("_bucket").distinct().na.drop().collect())  # at most the calendar / width
-    hot = {tuple(r) for side in (versions, events) for r in hot_keys(side, entity, share).collect()}  # at most 2 / share entities
-    schema = T.StructType([versions.schema[c] for c in entity])
+    hot = sorted({k for side in (versions, events) for k in hot_keys(side, entity, share)})  # at most 2 / share entities
     parts = []
     if hot:
-        spread = F.broadcast(versions.sparkSession.createDataFrame(sorted(hot), schema))
+        spread = hot_frame(versions, entity, hot).drop("_hot")
         cold_events, hot_events = dated.join(spread, entity, "left_anti"), dated.join(spread, entity, "left_semi")
         cold_versions, hot_versions = versions.join(spread, entity, "left_anti"), versions.join(spread, entity, "left_semi")
         folded = _fold(disjoint_validity(hot_versions, entity, rank, buckets, width), [*entity, "_bucket"])
