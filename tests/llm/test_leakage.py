@@ -20,6 +20,8 @@ def item(n, passage, lang="en", question="Who wanted lids?", answer="Garula;658"
 
 def test_bare_text():
     assert L.bare("Ａb­-C 1​!\n_é") == "abc1é" and L.bare(None) == ""
+    ascii_ = "".join(map(chr, range(128)))
+    assert L.bare(ascii_) == L.bare(ascii_ + "é")[:-1]
     assert L.run_length("zh") == L.run_length("ja ") == 16 and L.run_length("en") == L.run_length(None) == 40
 
 

@@ -30,16 +30,21 @@ DEFAULT_RUN = 40
 PASSAGE = 512
 #: Postings in a block of the index.
 BLOCK = 64
+#: Postings up to which lists over the same items are merged in a query; a block or less.
+SHORT = 16
 #: Items per index. More items are searched in blocks of this size, one pass over the texts each.
 ITEMS_PER_INDEX = 20_000
 K1, B = 1.2, 0.75
 
 _OTHER = re.compile(r"[\W_]+")
+_ASCII_OTHER = bytes(c for c in range(128) if not chr(c).isalnum())
 _P = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(64)], np.uint64)
 
 
 def bare(text: str | None) -> str:
     """NFKC, lower case, only letters and digits."""
+    if text and text.isascii():  # the same, faster
+        return text.encode().translate(None, _ASCII_OTHER).lower().decode()
     return _OTHER.sub("", unicodedata.normalize("NFKC", text or "").lower())
 
 
@@ -94,6 +99,9 @@ class Index:
         self.weights = [[w for _, w in postings[t]] for t in self.terms.tolist()]
         self.block_max = [[max(w[b : b + BLOCK]) for b in range(0, len(w), BLOCK)] for w in self.weights]
         self.most = np.array([max(b) for b in self.block_max])
+        known: dict[tuple[int, ...], int] = {}
+        self.sign = [known.setdefault(tuple(d), len(known)) if len(d) <= SHORT else -1 for d in self.docs]
+        self.signs = [list(d) for d in known]
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.terms >> np.uint64(42)).astype(np.int64)] = True
         self.run_grams: list[set[str]] = [{i.text[p : p + i.run] for p in range(len(i.text) - i.run + 1)} for i in self.items]
@@ -128,8 +136,8 @@ class Index:
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """Every item whose BM25 score for ``terms`` reaches its threshold, by block-max WAND."""
         hits: list[tuple[int, float]] = []
-        cursors = [[self.docs[t][0], 0, t] for t in terms]  # item, place in the postings, term
-        docs, weights, block_max, most = self.docs, self.weights, self.block_max, self.most
+        docs, weights, block_max, most = self._lists(terms)
+        cursors = [[d[0], 0, t] for t, d in enumerate(docs)]  # item, place in the postings, list
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
@@ -171,6 +179,30 @@ class Index:
             cursors = [c for c in cursors if c[0] >= 0]
         return hits
 
+    def _lists(self, terms: list[int]) -> tuple[list, list, list, list]:
+        """The postings of the terms; short lists over the same items are one list with the sums of their weights."""
+        docs, weights, block_max, most = [], [], [], []
+        short: dict[int, list[float]] = {}
+        for t in terms:
+            sign = self.sign[t]
+            if sign < 0:
+                docs.append(self.docs[t])
+                weights.append(self.weights[t])
+                block_max.append(self.block_max[t])
+                most.append(float(self.most[t]))
+            elif sign in short:
+                held = short[sign]
+                for i, w in enumerate(self.weights[t]):
+                    held[i] += w
+            else:
+                short[sign] = list(self.weights[t])
+        for sign, w in short.items():
+            docs.append(self.signs[sign])
+            weights.append(w)
+            most.append(max(w))
+            block_max.append([most[-1]])
+        return docs, weights, block_max, most
+
     def leaks(self, text: str | None) -> list[tuple[int, float, int, float, int]]:
         """(item, best score, longest shared run, share of the question, answers found) per leaked item."""
         whole = bare(text)
