@@ -108,3 +108,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([DATA, "extract", "--dry", "--normalize", "endpoint_override", "--out", str(tmp_path / "e")]) == 0
     assert spark.read.json(str(tmp_path / "e/funnel")).count() == 1 and not (tmp_path / "e/edges").exists()
     assert main([DATA, "query", "MATCH (p:Product)-[:SUPPLIED_BY]-(s:Supplier) RETURN count(*) AS n"]) == 0
+
+
+@needs_data
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    code = f"import sys; sys.path.insert(0, {str(ROOT)!r}); import __spark_entry__ as e; from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').getOrCreate(); print('ROWS', e.queries()['p3_found'](s, {DATA!r}).count())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env)
+    assert re.search(r"ROWS [1-9]", out.stdout), out.stderr[-2000:]

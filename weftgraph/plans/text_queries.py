@@ -285,3 +285,63 @@ def rel_promoted_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"with {S.GATED} select surface, count(*) as n from (select substr(trim(subject_id), 1, 60) as surface from gated where gate = 'unresolved' and subject is null union all select substr(trim(object_id), 1, 60) from gated where gate = 'unresolved' and object is null) group by 1 order by n desc, surface limit 30")
 def unresolved_top(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.unresolved_top(G.gated_triples(spark, folder))
+
+
+# ---------------------------------------------------------------- providers, without SQL
+
+
+@query()
+def extract_provider(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw triples of every chunk with two or more known entities, by the default extractor."""
+    from weftgraph.providers import extract_triples
+
+    chunks = table(spark, folder, "chunks").select("chunk_id", "doc_id", "text").filter("chunk_id is not null and text is not null").distinct()
+    links = catalog.link_ids(chunks, "chunk_id", "text", G.project_catalog(spark, folder))
+    return extract_triples(chunks, links)
+
+
+def _normalised(spark: SparkSession, folder: str, mode: str, **options) -> DataFrame:
+    from weftgraph.operators.normalize import normalise
+    from weftgraph.providers import HashEmbedder
+
+    passed = G.gated_triples(spark, folder).filter("gate = 'pass'")
+    return normalise(passed, mode, HashEmbedder(), **options).select("subject", "canon_predicate", "object", "source_chunk_id")
+
+
+@query()
+def normalize_guarded(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicates to the nearest sense of their label pair by the default embedder."""
+    return _normalised(spark, folder, "guarded_override", sense_tau=0.2, sense_margin=0.02)
+
+
+@query()
+def normalize_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicates of a label pair merged with those described alike."""
+    return _normalised(spark, folder, "embed_cluster", tau=0.9)
+
+
+@query()
+def entity_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Open mode: extracted entities with like surfaces merged."""
+    from weftgraph.operators.normalize import merge_entities
+    from weftgraph.providers import HashEmbedder
+
+    gated = extraction.gate(table(spark, folder, "extracted_triples"), G.project_catalog(spark, folder), open_entities=True)
+    return merge_entities(gated.filter("gate = 'pass'"), HashEmbedder()).select("subject", "canon_predicate", "object", "source_chunk_id")
+
+
+@query()
+def embedded_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The vector index table: chunk, document, place, text and vector."""
+    from weftgraph.providers import embed
+
+    return embed(table(spark, folder, "chunks").filter("chunk_id is not null and text is not null").distinct(), "text")
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
+def json_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Event properties behind code fences, read back as JSON."""
+    from weftgraph.functions.json_repair import repaired_json
+
+    raw = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
+    return table(spark, folder, "events").select("event_id", F.from_json(repaired_json(raw), "k bigint")["k"].alias("k"))

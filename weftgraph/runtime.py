@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,19 @@ def session(master: str = "local[*]", app: str = "weftgraph", **conf: str) -> Sp
     builder = SparkSession.builder.master(master).appName(app)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return reachable(builder.getOrCreate())
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, whatever their working folder is.
+
+    Executors on other machines need the package at the same path, or shipped with ``--py-files``.
+    """
+    here, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if here not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([here, *paths])
+    return spark
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
