@@ -37,7 +37,7 @@ def _args(argv: list[str]) -> argparse.Namespace:
     e.add_argument("--show", type=int, default=20)
     q = sub.add_parser("query", help="run one pattern query")
     q.add_argument("text")
-    a = sub.add_parser("ask", help="answer a question")
+    a = sub.add_parser("ask", help="answer a question, or questions until exit")
     a.add_argument("question", nargs="?")
     a.add_argument("--method", default="pattern", choices=["pattern", "structured", "pagerank", "keyword", "vector", "hybrid", "router"])
     a.add_argument("--eval", help="JSON lines with q, type, answer")
@@ -111,8 +111,9 @@ def main(argv: list[str] | None = None) -> int:
             if a.out:
                 graded.write.mode("overwrite").json(a.out)
         else:
-            found = retriever.retrieve(a.question or sys.stdin.readline())
-            print(found if isinstance(found, list) else found.context)
+            for question in [a.question] if a.question else iter(lambda: input("question> "), "exit"):
+                found = retriever.retrieve(question)
+                print(found if isinstance(found, list) else found.context)
     return 0
 
 

@@ -19,6 +19,8 @@ from weftgraph.runtime import cut
 from weftgraph.sources.tables import optional_table
 
 GRAM = 4
+#: Distinct first grams of names (a few characters each, so some 10 MB) up to which texts are filtered by broadcast.
+BROADCAST_GRAMS = 200_000
 #: Label of entities that only texts know.
 EXTRACTED = "ExtractedEntity"
 
@@ -96,10 +98,16 @@ def link_names(texts: DataFrame, key: str, text: str, catalog: DataFrame, least:
     found = []
     for n in sizes:
         mine = names.filter(F.length("_name") >= n if n == GRAM else F.length("_name") == n).withColumn("_gram", F.substring("_name", 1, n))
+        wanted = cut(mine.select("_gram").distinct())
+        size = wanted.count()
+        if not size:
+            continue
         grams = lowered.select(key, "_text", F.explode(_grams(F.col("_text"), n)).alias("_gram"))
-        wanted = mine.select("_gram").distinct()
-        hits = salted_join(grams.join(wanted, "_gram", "left_semi"), mine, ["_gram"], F.col(key), how="inner").filter(F.contains("_text", "_name"))
+        kept = grams.join(F.broadcast(wanted) if size <= BROADCAST_GRAMS else wanted, "_gram", "left_semi")
+        hits = salted_join(kept, mine, ["_gram"], F.col(key), how="inner", counted=mine).filter(F.contains("_text", "_name"))
         found.append(hits.select(key, "label", "id"))
+    if not found:
+        return texts.select(key).limit(0).withColumns({"label": F.lit(""), "id": F.lit("")})
     return reduce(DataFrame.unionByName, found).distinct()
 
 

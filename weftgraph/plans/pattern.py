@@ -27,6 +27,7 @@ class PatternError(ValueError):
 
 # ---------------------------------------------------------------- text level
 
+# Words that write or load.
 _WRITES = re.compile(r"\b(?:create|merge|delete|detach|set|remove|drop|foreach|load\s+csv|apoc\.(?:create|merge|refactor)|call\s+db\.(?:create|drop))\b", re.I)
 _LIMIT = re.compile(r"\blimit\s+\d+", re.I)
 
