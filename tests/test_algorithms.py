@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -111,6 +112,22 @@ def test_knn_equals_brute_force_and_index_recalls(spark):
     assert sum((q, i) in found for q in want for i in want[q]) / 75 >= 0.9
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_registered_index_search_equals_exact_search(spark):
+    from weftgraph.plans import retrieval_queries as Q
+
+    got, want = (sorted((r.query_id, r.rank, r.id, round(r.sim, 6)) for r in f(spark, "/root/testdata/sf0.1").collect()) for f in (Q.knn_index, Q.knn_exact))
+    assert got == want
+
+
+def test_index_search_goes_on_beyond_the_probes(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*rng.normal(size=(200, 24)).tolist(), [0.0] * 24])], "id bigint, v array<double>")
+    queries = df.filter("id % 20 = 0")
+    got, want = (sorted((r.query_id, r.rank, r.id) for r in x.collect()) for x in (V.InvertedFile(df, "id", "v", cells=10).search(queries, 5, probes=2), V.knn(queries, df, "id", "v", 5)))
+    assert got == want
+
+
 def test_knn_odd_vectors_and_ties(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [1.0, 0.0])], "id bigint, v array<float>")
     got = [(r.id, r.sim) for r in V.knn(df.filter("id = 1"), df, "id", "v", 3).orderBy("rank").collect()]

@@ -130,11 +130,28 @@ def gated(nearest: DataFrame, k: int = 5, tau: float = 0.5, margin: float = 0.05
 # ---------------------------------------------------------------- inverted-file index
 
 
+def _reach(centroids: np.ndarray):
+    """The greatest angle between a cell's centroid and the rows of a block; all of the sphere for a centroid that is no unit vector."""
+
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                cell, dim = batch.column("grp")[r].as_py(), batch.column("dim")[r].as_py()
+                c = centroids[int(cell)]
+                whole = abs(np.linalg.norm(c) - 1) > 1e-6 or dim != len(c)
+                m = np.asarray(batch.column("data")[r].values).reshape(-1, dim)
+                yield pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([np.pi if whole else float(np.arccos(np.clip(m @ c, -1, 1)).max()) + 1e-7])], ["grp", "reach"])
+
+    return angles
+
+
 class InvertedFile:
     """Cells around centroids that were fitted on a bounded sample; every row is in the cell of its nearest centroid.
 
     ``sample`` bounds the rows the centroids are fitted on (documented parameter); the index holds all
-    rows. Searches read the ``probes`` cells nearest to each query.
+    rows. Searches read the ``probes`` cells nearest to each query, then those of the rest whose
+    reach (the greatest angle of a row to the centroid) allows a row as near as the last one found,
+    so that the result is that of the exact search.
     """
 
     def __init__(self, rows: DataFrame, key: str, vector: str, cells: int = 64, sample: int = 20_000, rounds: int = 10):
@@ -150,6 +167,9 @@ class InvertedFile:
                     mean = mine.mean(axis=0)
                     self.centroids[c] = mean / max(np.linalg.norm(mean), 1e-12)
         self.blocks = cut(pack(self._cells(rows, 1), key, vector, "cell"))
+        self.reach = np.full(len(self.centroids), -1.0)  # of a cell without rows
+        for r in self.blocks.mapInArrow(_reach(self.centroids), "grp string, reach double").groupBy("grp").agg(F.max("reach").alias("reach")).collect():
+            self.reach[int(r.grp)] = r.reach
 
     def _cells(self, df: DataFrame, probes: int) -> DataFrame:
         centroids, key, vector = self.centroids, self.key, self.vector
@@ -165,10 +185,34 @@ class InvertedFile:
 
         return df.select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull()).mapInArrow(assign, f"{key} bigint, {vector} array<double>, cell string")
 
+    def _open(self, df: DataFrame, probes: int, places: int) -> DataFrame:
+        """The queries (with ``_last``, the last similarity found) once per cell beyond the probes that can hold a row as near."""
+        centroids, reach, key, vector, slack = self.centroids, self.reach, self.key, self.vector, 10.0**-places
+
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                m, ok = _matrix(batch.column(1))
+                if len(ok):
+                    dots = m @ centroids.T
+                    most = np.cos(np.maximum(0.0, np.arccos(np.clip(dots, -1, 1)) - reach))
+                    rest = (reach >= 0) & (most >= np.asarray(batch.column(2))[ok, None] - slack)
+                    np.put_along_axis(rest, np.argsort(-dots, axis=1, kind="stable")[:, :probes], False, 1)
+                    i, c = np.nonzero(rest)
+                    at = pa.array(ok[i])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(c.astype(str).tolist(), pa.string())], [key, vector, "cell"])
+
+        return df.select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias(vector), "_last").filter(F.col(vector).isNotNull()).mapInArrow(cells, f"{key} bigint, {vector} array<double>, cell string")
+
+    def _meet(self, cells: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        q = pack(cells, self.key, self.vector, "cell").select("grp", F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data"))
+        return self.blocks.join(q, "grp").select("q_ids", "q_dim", "q_data", "ids", "dim", "data").mapInArrow(_best(k, exclude_self), "query_id bigint, id bigint, sim double")
+
     def search(self, queries: DataFrame, k: int = 6, probes: int = 8, exclude_self: bool = False, places: int = 9) -> DataFrame:
-        q = pack(self._cells(queries, probes), self.key, self.vector, "cell").select("grp", F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data"))
-        pairs = self.blocks.join(q, "grp").select("q_ids", "q_dim", "q_data", "ids", "dim", "data").mapInArrow(_best(k, exclude_self), "query_id bigint, id bigint, sim double")
-        return _rank(pairs, k, places)
+        first = cut(_rank(self._meet(self._cells(queries, probes), k, exclude_self), k, places))
+        last = first.filter(F.col("rank") == k).select(F.col("query_id").alias(self.key), F.col("sim").alias("_last"))
+        left = queries.join(last, self.key, "left").withColumn("_last", F.coalesce("_last", F.lit(-2.0)))  # fewer than k found: every cell
+        more = self._meet(self._open(left, probes, places), k, exclude_self)
+        return _rank(first.drop("rank").unionByName(more), k, places)
 
 
 # ---------------------------------------------------------------- clusters

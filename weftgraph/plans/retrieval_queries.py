@@ -163,7 +163,7 @@ def knn_gated(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def knn_index(spark: SparkSession, folder: str) -> DataFrame:
-    """The same search over the inverted-file index; tests measure its recall."""
+    """The same search over the inverted-file index: half the cells first, then those that can still hold a nearer row."""
     rows = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "id")
     index = vector.InvertedFile(rows, "id", "embedding", cells=32)
     return index.search(rows.filter("id % 20 = 0"), 5, probes=16, exclude_self=True)
