@@ -68,6 +68,40 @@ def test_query_equals_sql(spark, name):
     assert sorted(tuple(map(value, r)) for r in df.collect()) == sorted(tuple(value(r[i]) for i in at) for r in want.fetchall())
 
 
+def _dense_walk(nodes, edges, seeds, iterations):
+    """{(question, node): score} of the walk over all nodes at once."""
+    import numpy as np
+
+    at = {n: i for i, n in enumerate(dict.fromkeys([*nodes, *(x for e in edges for x in e)]))}
+    a, b = np.array([at[x] for x, y in edges for x in (x, y)]), np.array([at[y] for x, y in edges for y in (y, x)])
+    degree = np.bincount(a, minlength=len(at))
+    out = {}
+    for q in sorted({q for q, _ in seeds}):
+        home = np.zeros(len(at))
+        home[[at[n] for n in {n for k, n in seeds if k == q} & nodes]] = 1
+        p = home = home / home.sum()
+        for _ in range(iterations):
+            p = 0.15 * home + 0.85 * (np.bincount(b, p[a] / degree[a], len(at)) + p[degree == 0].sum() * home)
+        out |= {(q, n): p[i] for n, i in at.items() if p[i] > 0}
+    return out
+
+
+@needs_data
+def test_full_walks_equal_dense_iteration(spark):
+    from weftgraph.operators import graph_algo as A
+    from weftgraph.plans import retrieval_queries as Q
+
+    n, e = Q._structured(spark, DATA)
+    nodes, edges = {f"{r.label}:{r.id}" for r in n.collect()}, A.keyed_edges(e).select("s", "rel_type", "t").collect()
+    want = _dense_walk(nodes, [(r.s, r.t) for r in edges], Q.SEEDS, 30)
+    got = {(r.question_id, r.node): r.score for r in Q.ppr_scores_full(spark, DATA).collect()}
+    assert got == pytest.approx(want, abs=2e-9)
+    top = {q: sorted(((round(v, 10), n) for (k, n), v in want.items() if k == q and not n.startswith("Document:")), reverse=True)[:15] for q in (1, 2)}
+    assert sorted((r.question_id, r["rank"], r.node) for r in Q.ppr_top_entities_full(spark, DATA).collect()) == [(q, i + 1, n) for q in (1, 2) for i, (_, n) in enumerate(top[q])]
+    chosen = {(q, n) for q in (1, 2) for _, n in top[q]}
+    assert sorted(map(tuple, Q.induced_edges_full(spark, DATA).collect())) == sorted((q, r.s, r.rel_type, r.t) for q in (1, 2) for r in edges if {(q, r.s), (q, r.t)} <= chosen)
+
+
 @needs_data
 def test_retrievers_answer(spark):
     from weftgraph import retrieve as R

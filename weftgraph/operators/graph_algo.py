@@ -60,6 +60,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, alpha: float
     teleport = cut(valid.withColumn("w", F.lit(1.0) / F.count("*").over(Window.partitionBy(question))))
     adj = adjacency(edges)
     degree = adj.groupBy("node").agg(F.count("*").alias("deg"))
+    alone = cut(teleport.join(degree, "node", "left_anti").select(question, "node"))  # only seeds can be nodes without edges that hold a score
     hubs = hot_frame(adj, ["node"], hot_keys(adj, ["node"]))
     spread = 32
     steps = cut(salted_join(adj, degree, ["node"], F.col("other"), how="inner").join(hubs, "node", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("other"), F.lit(spread))).otherwise(0).cast("int")).drop("_hot"))
@@ -67,7 +68,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, alpha: float
     for _ in range(iterations):
         salted = rank.join(hubs, "node", "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
         moved = salted.join(steps, ["node", "_salt"]).select(question, F.col("other").alias("node"), ((1 - alpha) * F.col("score") / F.col("deg")).alias("score"))
-        lost = rank.join(degree.select("node"), "node", "left_anti").groupBy(question).agg(F.sum("score").alias("lost"))
+        lost = rank.join(alone, [question, "node"], "left_semi").groupBy(question).agg(F.sum("score").alias("lost"))
         back = teleport.join(lost, question, "left").select(question, "node", (alpha * F.col("w") + (1 - alpha) * F.coalesce("lost", F.lit(0.0)) * F.col("w")).alias("score"))
         rank = cut(moved.unionByName(back).groupBy(question, "node").agg(F.sum("score").alias("score")).filter("score > 0"))
     return rank
