@@ -91,7 +91,7 @@ def test_full_walks_equal_dense_iteration(spark):
     from weftgraph.operators import graph_algo as A
     from weftgraph.plans import retrieval_queries as Q
 
-    n, e = Q._structured(spark, DATA)
+    n, e = Q._fused(spark, DATA)
     nodes, edges = {f"{r.label}:{r.id}" for r in n.collect()}, A.keyed_edges(e).select("s", "rel_type", "t").collect()
     want = _dense_walk(nodes, [(r.s, r.t) for r in edges], Q.SEEDS, 30)
     got = {(r.question_id, r.node): r.score for r in Q.ppr_scores_full(spark, DATA).collect()}
@@ -102,6 +102,24 @@ def test_full_walks_equal_dense_iteration(spark):
     assert sorted(map(tuple, Q.induced_edges_full(spark, DATA).collect())) == sorted((q, r.s, r.rel_type, r.t) for q in (1, 2) for r in edges if {(q, r.s), (q, r.t)} <= chosen)
 
 
+@needs_data
+@pytest.mark.parametrize("name", ["chunk_members_full", "one_hop_ranked_full", "entity_expand_full", "chunk_overlap_full"])
+def test_fused_query_equals_sql(spark, name):
+    test_query_equals_sql(spark, name)
+
+
+@needs_data
+def test_full_queries_hold_what_only_texts_say(spark):
+    from weftgraph.plans import retrieval_queries as Q
+
+    edges = Q._fused(spark, DATA)[1].filter("origin = 'extracted'")
+    chunk = edges.selectExpr("source_chunk_id as chunk_id", "concat(src_label, ':', src) as node")
+    known = spark.read.parquet(f"{DATA}/chunks.parquet").select("chunk_id").distinct()
+    wanted = chunk.join(known, "chunk_id").distinct()
+    assert wanted.count() > 0 and wanted.join(Q.chunk_members_full(spark, DATA), ["chunk_id", "node"], "left_anti").isEmpty()
+    assert not wanted.join(Q.chunk_members(spark, DATA), ["chunk_id", "node"], "left_anti").isEmpty()
+
+
 @needs_data
 def test_retrievers_answer(spark):
     from weftgraph import retrieve as R

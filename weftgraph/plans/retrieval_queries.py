@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import evaluate, graph_algo, graph_build, vector
+from weftgraph.operators import catalog, evaluate, graph_algo, graph_build, vector
 from weftgraph.plans import graph_queries as G
 from weftgraph.plans import sql_base as S
 from weftgraph.runtime import cut
@@ -41,6 +41,12 @@ def _structured(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     return cut(graph.all_nodes().select("label", "id")), cut(graph.all_edges())
 
 
+def _fused(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of tables and texts: edges after the upsert of the promoted triples, and the entities that only triples name as nodes too."""
+    nodes = graph_build.supply_chain(spark, folder).all_nodes().select("label", "id")
+    return cut(nodes.unionByName(catalog.mentioned_entities(table(spark, folder, "extracted_triples")).select("label", "id"))), cut(G.merged_edges(spark, folder))
+
+
 def _ranks(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return graph_algo.pagerank(edges, _seeds(spark), nodes, iterations=ITERATIONS)
 
@@ -107,27 +113,27 @@ def _full_ranks(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> Data
 
 @query()
 def ppr_scores_full(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole walk of 30 iterations; tests compare it with the dense iteration."""
-    nodes, edges = _structured(spark, folder)
+    """The whole walk of 30 iterations over the fused graph; tests compare it with the dense iteration."""
+    nodes, edges = _fused(spark, folder)
     return _full_ranks(spark, nodes, edges).withColumn("score", F.round("score", 9))
 
 
 @query()
 def ppr_passages_full(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, edges = _structured(spark, folder)
+    nodes, edges = _fused(spark, folder)
     members = graph_algo.chunk_members(table(spark, folder, "chunks"), edges, nodes)
     return graph_algo.rank_passages(_full_ranks(spark, nodes, edges), members).withColumn("score", F.round("score", 9))
 
 
 @query()
 def ppr_top_entities_full(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, edges = _structured(spark, folder)
+    nodes, edges = _fused(spark, folder)
     return graph_algo.rank_entities(_full_ranks(spark, nodes, edges)).withColumn("score", F.round("score", 9))
 
 
 @query()
 def induced_edges_full(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, edges = _structured(spark, folder)
+    nodes, edges = _fused(spark, folder)
     top = cut(graph_algo.rank_entities(_full_ranks(spark, nodes, edges)))
     return graph_algo.induced_edges(edges, top).select("question_id", "s", "rel_type", "t")
 
@@ -166,6 +172,45 @@ def chunk_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return graph_algo.overlap_chunks(members, graph_algo.expand_entities(_seeds(spark), ranked), ranked)
 
 
+# The same over the fused graph; the queries above keep to what tables and document links say.
+
+_FUSED = f"{S.UPSERTED}, all_nodes as (select label, id from nodes union all select case substr(id, 1, 2) when 'AE' then 'AnomalyEvent' when 'DT' then 'DowntimeEvent' else 'Equipment' end, id from mentioned), e as (select *, src_label || ':' || src as s, dst_label || ':' || dst as t from merged)"
+_FULL_MEMBERS = """texts as (select distinct chunk_id, nullif(upper(trim(doc_id, """ + S.BLANKS + """)), '') as doc, text from chunks where chunk_id is not null),
+dc as (select chunk_id, doc from texts where doc in (select id from all_nodes where label = 'Document')),
+members as (select chunk_id, unnest([s, t]) as node from e join (select distinct chunk_id from texts) on source_chunk_id = chunk_id where origin = 'extracted' union select chunk_id, 'Document:' || doc from dc union select chunk_id, t from dc join (select src, t from e where origin = 'document_link') on src = doc union select chunk_id, n.label || ':' || n.id from (select distinct chunk_id, unnest(regexp_extract_all(text, '[A-Za-z]{2,6}[0-9]{2,}')) as tok from texts) join all_nodes n on n.id = tok)"""
+_FULL_HOP = f"""{_FUSED}, seeds as (select * from (values {_SEED_VALUES}) v(question_id, node, ord)), near as (select distinct question_id, s, rel_type, t, origin, confidence, source_chunk_id from e join seeds on node = s or node = t),
+pointed as (select *, case when rel_type in ('FOR_CUSTOMER', 'SUPPLIED_BY') then 2.0 else 0.0 end + case when origin in ('structured', 'document_link') then 1.0 else coalesce(confidence, 0) end as score from near),
+hop as (select * from (select *, row_number() over (partition by question_id order by round(score, 10) desc, s, rel_type, t) as rank from pointed) where rank <= 30)"""
+_FULL_ENT = f"""{_FULL_HOP}, ends as (select question_id, node, ord from seeds union all select question_id, s, rank * 2 + 1000000 from hop union all select question_id, t, rank * 2 + 1000001 from hop),
+ent as (select * from (select *, row_number() over (partition by question_id order by ord, node) as rank from (select question_id, node, min(ord) as ord from ends where not starts_with(node, 'Document:') group by all)) where rank <= 30)"""
+
+
+@query(f"with {_FUSED}, {_FULL_MEMBERS} select chunk_id, node from members")
+def chunk_members_full(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, edges = _fused(spark, folder)
+    return graph_algo.chunk_members(table(spark, folder, "chunks"), edges, nodes)
+
+
+@query(f"with {_FULL_HOP} select question_id, s, rel_type, t, cast(score as double) as score, cast(rank as integer) as rank from hop")
+def one_hop_ranked_full(spark: SparkSession, folder: str) -> DataFrame:
+    _, edges = _fused(spark, folder)
+    return _hop(spark, edges).select("question_id", "s", "rel_type", "t", "score", "rank")
+
+
+@query(f"with {_FULL_ENT} select question_id, node, cast(rank as integer) as rank from ent")
+def entity_expand_full(spark: SparkSession, folder: str) -> DataFrame:
+    _, edges = _fused(spark, folder)
+    return graph_algo.expand_entities(_seeds(spark), _hop(spark, edges)).select("question_id", "node", "rank")
+
+
+@query(f"with {_FULL_ENT}, {_FULL_MEMBERS}, counted as (select question_id, chunk_id, count(distinct node) as n_shared from members join ent using (node) group by all union all select distinct question_id, source_chunk_id, 0 from hop where source_chunk_id in (select chunk_id from members)), sh as (select question_id, chunk_id, max(n_shared) as n_shared from counted group by all) select * from (select question_id, chunk_id, n_shared, cast(row_number() over (partition by question_id order by n_shared desc, chunk_id desc) as integer) as rank from sh) where rank <= 8")
+def chunk_overlap_full(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, edges = _fused(spark, folder)
+    ranked = _hop(spark, edges)
+    members = graph_algo.chunk_members(table(spark, folder, "chunks"), edges, nodes)
+    return graph_algo.overlap_chunks(members, graph_algo.expand_entities(_seeds(spark), ranked), ranked)
+
+
 # ---------------------------------------------------------------- vectors
 
 _UNIT = "u as (select vec_id, label, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as v from embeddings)"
