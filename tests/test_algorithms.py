@@ -136,6 +136,13 @@ def test_knn_odd_vectors_and_ties(spark):
     assert [round(x, 3) for x in df.filter("id = 3").select(V.unit("v")).first()[0]] == [0.0, 0.0]
 
 
+def test_near_copies_are_cut_by_id(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0])] + [(i, [1.0, 1e-7 * (41 - i)]) for i in range(1, 41)], "id bigint, v array<double>")  # all 1.0 once rounded, greater ids nearer before
+    query = df.filter("id = 0")
+    for got in (V.knn(query, df, "id", "v", 3, exclude_self=True), V.InvertedFile(df, "id", "v", cells=4).search(query, 3, probes=2, exclude_self=True)):
+        assert [(r.id, r.sim) for r in got.orderBy("rank").collect()] == [(1, 1.0), (2, 1.0), (3, 1.0)]
+
+
 def test_gate(spark):
     near = spark.createDataFrame([(1, 1, 0.9, 1), (1, 2, 0.7, 2), (1, 3, 0.2, 3), (2, 1, 0.9, 1), (2, 2, 0.89, 2), (3, 1, 0.4, 1), (4, 1, 0.6, 1)], "query_id int, id int, sim double, rank int")
     assert sorted((r.query_id, r.id) for r in V.gated(near).collect()) == [(1, 1), (1, 2), (4, 1)]

@@ -19,6 +19,7 @@ from weftgraph.operators.skew import salted_join
 from weftgraph.runtime import cut
 
 BLOCK_ROWS = 8192
+EMIT_ROWS = 65_536
 
 
 def unit(c: Column | str) -> Column:
@@ -78,7 +79,9 @@ def pack(df: DataFrame, key: str, vector: str, group: str | None = None, rows: i
     return packed.withColumn("block", F.monotonically_increasing_id())
 
 
-def _best(k: int, exclude_self: bool):
+def _best(k: int, exclude_self: bool, places: int):
+    slack = 2 * 10.0**-places
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
@@ -91,15 +94,11 @@ def _best(k: int, exclude_self: bool):
                     s = q[lo : lo + 512] @ d.T
                     if exclude_self:
                         s[qi[lo : lo + 512, None] == di[None, :]] = -np.inf
-                    n = min(k + 8, s.shape[1])  # a few more than k, so that ties are cut by id below
-                    at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                    sims = np.take_along_axis(s, at, 1)
-                    edge = sims.min(axis=1)
-                    for i in np.flatnonzero((s >= edge[:, None]).sum(axis=1) > n):  # more ties than spare places: all of them
-                        more = np.flatnonzero(s[i] >= edge[i])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(more), qi[lo + i])), pa.array(di[more]), pa.array(s[i, more])], ["query_id", "id", "sim"])
-                    ok = np.isfinite(sims)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qi[lo : lo + 512, None], sims.shape)[ok]), pa.array(di[at][ok]), pa.array(sims[ok])], ["query_id", "id", "sim"])
+                    edge = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
+                    i, j = np.nonzero((s >= edge[:, None] - slack) & np.isfinite(s))  # whatever may tie with the last one once rounded
+                    for at in range(0, len(i), EMIT_ROWS):
+                        x, y = i[at : at + EMIT_ROWS], j[at : at + EMIT_ROWS]
+                        yield pa.RecordBatch.from_arrays([pa.array(qi[lo + x]), pa.array(di[y]), pa.array(s[x, y])], ["query_id", "id", "sim"])
 
     return score
 
@@ -116,7 +115,7 @@ def knn(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 6,
     """
     q = pack(queries, key, vector).select(F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data"))
     d = pack(rows, key, vector).select("ids", "dim", "data")
-    pairs = q.crossJoin(d).mapInArrow(_best(k, exclude_self), "query_id bigint, id bigint, sim double")  # a query set against all rows, in blocks
+    pairs = q.crossJoin(d).mapInArrow(_best(k, exclude_self, places), "query_id bigint, id bigint, sim double")  # a query set against all rows, in blocks
     return _rank(pairs, k, places)
 
 
@@ -203,15 +202,15 @@ class InvertedFile:
 
         return df.select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias(vector), "_last").filter(F.col(vector).isNotNull()).mapInArrow(cells, f"{key} bigint, {vector} array<double>, cell string")
 
-    def _meet(self, cells: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    def _meet(self, cells: DataFrame, k: int, exclude_self: bool, places: int) -> DataFrame:
         q = pack(cells, self.key, self.vector, "cell").select("grp", F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data"))
-        return self.blocks.join(q, "grp").select("q_ids", "q_dim", "q_data", "ids", "dim", "data").mapInArrow(_best(k, exclude_self), "query_id bigint, id bigint, sim double")
+        return self.blocks.join(q, "grp").select("q_ids", "q_dim", "q_data", "ids", "dim", "data").mapInArrow(_best(k, exclude_self, places), "query_id bigint, id bigint, sim double")
 
     def search(self, queries: DataFrame, k: int = 6, probes: int = 8, exclude_self: bool = False, places: int = 9) -> DataFrame:
-        first = cut(_rank(self._meet(self._cells(queries, probes), k, exclude_self), k, places))
+        first = cut(_rank(self._meet(self._cells(queries, probes), k, exclude_self, places), k, places))
         last = first.filter(F.col("rank") == k).select(F.col("query_id").alias(self.key), F.col("sim").alias("_last"))
         left = queries.join(last, self.key, "left").withColumn("_last", F.coalesce("_last", F.lit(-2.0)))  # fewer than k found: every cell
-        more = self._meet(self._open(left, probes, places), k, exclude_self)
+        more = self._meet(self._open(left, probes, places), k, exclude_self, places)
         return _rank(first.drop("rank").unionByName(more), k, places)
 
 
