@@ -41,6 +41,12 @@ def test_linking(spark, cat, rows):
     assert rows(C.enough_candidates(C.link_entities(texts, "k", "t", cat), "k")) == [("a", 3), ("d", 2)]
 
 
+def test_ids_of_letters_only_are_linked(spark, cat, rows):
+    more = cat.select("label", "id", "name").unionByName(spark.createDataFrame([("Region", "WEST", None)], "label string, id string, name string"))
+    texts = spark.createDataFrame([("a", "the west and PRD001"), ("b", "western")], "k string, t string")
+    assert rows(C.link_ids(texts, "k", "t", more)) == [("a", "Product", "PRD001"), ("a", "Region", "WEST")]
+
+
 def test_resolution_cascade(spark, cat):
     values = spark.createDataFrame([(v,) for v in (" prd001", "OAT MILK", "oat milk 1l", "milk", "Mi", "ab", "cable", None, "oat")], "value string")
     got = {r.value: (r.id, r.how) for r in C.resolve_values(values, "value", cat).collect()}

@@ -83,9 +83,12 @@ def _grams(c: Column, n: int = GRAM) -> Column:
 def link_ids(texts: DataFrame, key: str, text: str, catalog: DataFrame) -> DataFrame:
     """(``key``, label, id): ids that stand in the text as a word, whatever their case.
 
-    Ids must consist of word characters; then a word match is equality with a token.
+    Ids must consist of word characters; then a word match is equality with a token. If every id
+    holds a digit, words without one are left out before the join.
     """
-    words = texts.select(key, F.explode(_tokens(text)).alias("_token")).filter(F.col("_token").rlike("[0-9]"))
+    words = texts.select(key, F.explode(_tokens(text)).alias("_token"))
+    if catalog.filter(~F.col("id").rlike("[0-9]")).isEmpty():
+        words = words.filter(F.col("_token").rlike("[0-9]"))
     ids = catalog.select("label", "id", F.lower("id").alias("_token"))
     return salted_join(words, ids, ["_token"], F.col(key), how="inner").select(key, "label", "id")
 
