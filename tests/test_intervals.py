@@ -90,6 +90,26 @@ def test_binary_search_insertion():
     assert (m.first, m.last, m.shared) == ([0], [30], [True])
 
 
+def test_stream_withdraws_what_vanished(spark, tmp_path):
+    from weftgraph.streaming.interval_stream import stream_periods
+
+    src, schema, batches = str(tmp_path / "in"), "ref_table string, entity_key string, record string, a int, b int", []
+    (tmp_path / "in").mkdir()
+    stream = stream_periods(spark.readStream.schema(spark.createDataFrame([], schema).schema).parquet(src))
+    q = None
+    for part in ([("t", "X", "1", 1, 3), ("t", "X", "2", 10, 12), ("t", "X", "4", 30, 31)], [("t", "X", "1", 2, 5), ("t", "X", "3", 12, 20)], [("t", "X", "5", 6, 10)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        q = q or stream.writeStream.outputMode("update").foreachBatch(lambda df, _: batches.append(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+    q.stop()
+    table = {}
+    for r in (r for batch in batches for r in batch):
+        table.pop((r.kind, r.a), None)
+        if r.b is not None:
+            table[r.kind, r.a] = (r.b, r.shared)
+    assert table == {("period", 1): (20, True), ("period", 30): (31, False), ("gap", 21): (29, False)}
+
+
 def test_stream_gives_the_same(spark, tmp_path):
     from weftgraph.streaming.interval_stream import stream_periods
 

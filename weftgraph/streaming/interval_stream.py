@@ -1,7 +1,7 @@
-"""Periods and gaps kept up to date over a stream: the ordered period map as keyed state.
+"""Periods and gaps kept up to date over a stream.
 
-State per entity holds the open end of every record's own days apart from the map, so that a
-record delivered again or in parts never counts as an overlap with itself.
+State per entity holds the disjoint day spans of every record, so that a record delivered again or
+in parts never counts as an overlap with itself; each batch builds the period map from them anew.
 """
 
 from __future__ import annotations
@@ -33,17 +33,23 @@ def _replay(rows: list[tuple[str, int, int]]) -> PeriodMap:
     return state
 
 
+def _results(rows: list[tuple[str, int, int]]) -> dict[tuple[str, int], tuple[int, bool]]:
+    """(kind, first day) → (last day, shared)."""
+    periods = _replay(rows)
+    return {("period", a): (b, s) for a, b, s in zip(periods.first, periods.last, periods.shared)} | {("gap", a): (b, False) for a, b in periods.gaps()}
+
+
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     old = state.get if state.exists else ([], [], [])
     rows = set(zip(*old))
+    before = _results(list(rows))
     for pdf in batches:
         rows.update(zip(pdf["record"].tolist(), pdf["a"].astype(int).tolist(), pdf["b"].astype(int).tolist()))
     merged = _squeeze(rows)
     state.update(tuple(list(c) for c in zip(*merged)) if merged else ([], [], []))
-    periods = _replay(merged)
-    out = [(*key, "period", a, b, s) for a, b, s in zip(periods.first, periods.last, periods.shared)]
-    out += [(*key, "gap", a, b, False) for a, b in periods.gaps()]
-    yield pd.DataFrame(out, columns=["ref_table", "entity_key", "kind", "a", "b", "shared"])
+    now = _results(merged)
+    out = [(*key, *k, *v) for k, v in now.items()] + [(*key, *k, None, None) for k in before if k not in now]
+    yield pd.DataFrame(out, columns=["ref_table", "entity_key", "kind", "a", "b", "shared"]).astype({"b": "Int32", "shared": "boolean"})
 
 
 def _squeeze(rows: set[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -60,7 +66,8 @@ def _squeeze(rows: set[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 def stream_periods(rows: DataFrame) -> DataFrame:
     """A stream of ``intervals`` rows → the current periods and gaps of every entity that a batch touched (update mode).
 
-    A later row of the same entity, period kind and first day replaces an earlier one downstream.
+    A later row of the same entity, kind and first day replaces an earlier one downstream; one whose
+    last day is null withdraws it.
     Late rows are taken in whenever they come. For bounded history at scale use the batch
     operator, which spreads a hot entity; here an entity's state lives in one task.
     """
