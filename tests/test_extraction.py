@@ -136,6 +136,13 @@ def test_audit(spark):
     assert (b.fk_redundant_edges, b.genuine_bridge_edges, b.genuine_bridge_types) == (1, 3, 2)
 
 
+def test_extractor_finds_names(spark):
+    chunks = spark.createDataFrame([("c1", "d", "Oat Milk was supplied by S1."), ("c2", "d", "Oat needs Oat Milk")], "chunk_id string, doc_id string, text string")
+    links = spark.createDataFrame([("c1", "P1", "oat milk"), ("c1", "S1", None), ("c1", "P2", "Oat"), ("c2", "P1", "oat milk"), ("c2", "P2", "Oat")], "chunk_id string, id string, name string")
+    got = [(r.subject_id, r.predicate, r.object_id, r.source_chunk_id) for r in extract_triples(chunks, links).orderBy("source_chunk_id").collect()]
+    assert got == [("P1", "WAS_SUPPLIED_BY", "S1", "c1"), ("P2", "NEEDS", "P1", "c2")]
+
+
 def test_extractor_provider(spark):
     chunks = spark.createDataFrame([("c1", "d", "P1 was supplied by S1. O1 waits."), ("c2", "d", "P1 alone"), ("c3", "d", "S1 P1")], "chunk_id string, doc_id string, text string")
     links = spark.createDataFrame([("c1", "P1"), ("c1", "S1"), ("c1", "O1"), ("c2", "P1"), ("c3", "P1"), ("c3", "S1")], "chunk_id string, id string")

@@ -6,6 +6,7 @@ Any object with the same method can stand in: a client of a model server, for in
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 import re
 import zlib
@@ -87,14 +88,29 @@ TRIPLE = "array<struct<subject_id:string,predicate:string,object_id:string,evide
 
 @dataclass(frozen=True)
 class TemplateExtractor:
-    """The default extractor: neighbouring candidates of a sentence, related by the words between them."""
+    """The default extractor: neighbouring candidates of a sentence, by id or name, related by the words between them."""
 
     reach: int = 60
 
-    def extract(self, text: str, candidates: list[str]) -> list[dict]:
-        spots = sorted((m.start(), m.end(), c) for c in candidates for m in re.finditer(rf"\b{re.escape(c)}\b", text or "", re.I))
+    def _named(self, text: str, names: list[tuple[str, str]], taken: list[tuple[int, int]]) -> dict[tuple[int, int], list[str]]:
+        """Where names stand, longer ones first, apart from each other and from what is taken; equal names stand for all their ids."""
+        ids, found = {}, {}
+        for i, name in names:
+            ids.setdefault(name.lower(), set()).add(i)
+        for name in sorted(ids, key=lambda n: (-len(n), n)):
+            for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text, re.I):
+                if all(m.end() <= a or m.start() >= b for a, b in [*taken, *found]):
+                    found[m.span()] = sorted(ids[name])
+        return found
+
+    def extract(self, text: str, candidates: list[str], names: list[tuple[str, str]] = ()) -> list[dict]:
+        """``names``: (id, name) of candidates."""
+        text = text or ""
+        by_id = [(*m.span(), c) for c in candidates for m in re.finditer(rf"\b{re.escape(c)}\b", text, re.I)]
+        named = self._named(text, names, [(a, b) for a, b, _ in by_id])
+        spots = sorted([(a, b, [c]) for a, b, c in by_id] + [(a, b, c) for (a, b), c in named.items()])
         out = []
-        for (a, b, left), (c, d, right) in zip(spots, spots[1:]):
+        for (a, b, left), (c, d, right) in (((*x[:2], i), (*y[:2], j)) for x, y in zip(spots, spots[1:]) for i in x[2] for j in y[2]):
             between = text[b:c]
             if left != right and c - b <= self.reach and not re.search(r"[.!?]\s", between):
                 words = re.findall(r"[A-Za-z]+", between)
@@ -106,23 +122,26 @@ def extract_triples(chunks: DataFrame, links: DataFrame, extractor=TemplateExtra
     """Chunks (chunk_id, doc_id, text) with ``least`` or more linked entities → raw triples in the table's columns.
 
     A failing call gives no triples. ``limit`` bounds the chunks for a dry run. Repeated rows of the
-    same chunk count once. Match tags and surfaces are filled in by the gate.
+    same chunk count once. Match tags and surfaces are filled in by the gate. If ``links`` has a column
+    ``name``, extractors that take ``names`` get the candidates' (id, name) too.
     """
-    candidates = links.groupBy("chunk_id").agg(F.array_sort(F.collect_set("id")).alias("candidates")).filter(F.size("candidates") >= least)
+    takes_names = "name" in links.columns and "names" in inspect.signature(extractor.extract).parameters
+    named = F.when(F.col("name").isNotNull(), F.struct("id", "name")) if takes_names else F.lit(None).cast("struct<id:string,name:string>")
+    candidates = links.groupBy("chunk_id").agg(F.array_sort(F.collect_set("id")).alias("candidates"), F.array_sort(F.collect_set(named)).alias("names")).filter(F.size("candidates") >= least)
     todo = chunks.select("chunk_id", "doc_id", "text").distinct().join(candidates, "chunk_id")
     if limit is not None:
         todo = todo.orderBy("chunk_id").limit(limit)
 
-    def call(text: pd.Series, candidates: pd.Series) -> pd.Series:
-        def one(t: str, c: list[str]) -> list[dict]:
+    def call(text: pd.Series, candidates: pd.Series, names: pd.Series) -> pd.Series:
+        def one(t: str, c: list[str], n: list[dict]) -> list[dict]:
             try:
-                return extractor.extract(t, list(c))
+                return extractor.extract(t, list(c), names=[(x["id"], x["name"]) for x in n]) if takes_names else extractor.extract(t, list(c))
             except Exception:  # a call that fails gives no triples
                 return []
 
-        return pd.Series([one(t, c) for t, c in zip(text, candidates)])
+        return pd.Series([one(t, c, n) for t, c, n in zip(text, candidates, names)])
 
-    said = todo.withColumn("t", F.explode(F.pandas_udf(call, TRIPLE)("text", "candidates")))
+    said = todo.withColumn("t", F.explode(F.pandas_udf(call, TRIPLE)("text", "candidates", "names")))
     none = F.lit(None).cast("string")
     # the calls are dear and not repeatable, so what they gave is kept
     return cut(said.select("t.subject_id", "t.predicate", "t.object_id", none.alias("subject_match"), none.alias("object_match"), none.alias("subject_surface"), none.alias("object_surface"), F.col("t.evidence").alias("predicate_cue"), F.col("chunk_id").alias("source_chunk_id"), F.col("doc_id").alias("source_doc_id"), F.col("text").alias("chunk_text")))
