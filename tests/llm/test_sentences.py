@@ -31,6 +31,40 @@ SPLIT = [
     ['반장은 "일단 멈춥시다. 밸브를 봅시다."라고 말한 뒤 전원을 껐다.', "누가 승인했습니까?"],
     ["สัญญาได้รับการต่ออายุแล้ว", "เครื่องจักรหยุดทำงานเพราะสายพานขาด"],
 ]
+#: Labelled by hand; no text or table of the test data has a part in them.
+OTHER_SCRIPTS_AND_CASES = [
+    ["ሰላም ነው።", "ደህና ነኝ።"],
+    ["မင်္ဂလာပါ။", "နေကောင်းလား။"],
+    ["သူ လာ၊ သူမ သွား။", "ပြီးပြီ။"],
+    ["សួស្តី។", "អរគុណ។"],
+    ["Բարև ձեզ։", "Ինչպես եք։"],
+    ["Τι κάνεις;", "Είμαι καλά."],
+    ["ߊ߬ ߣߊ߬߹", "ߊ߬ ߕߊ߯߹"],
+    ["کیا حال ہے؟", "میں ٹھیک ہوں۔"],
+    ["𑀓𑀔𑁇", "𑀕𑀖𑁇"],
+    ["I like plan B.", "It works."],
+    ["He got an A.", "She got a B."],
+    ["It was built by J. Smith.", "It stands."],
+    ["John F. Kennedy spoke.", "The end."],
+    ["i went home.", "then i slept.", "what happened?", "nobody knows.", "see approx. five."],
+    ["Jan. 5 was cold.", "It snowed."],
+    ["On 12 ene. 2024 llegó.", "Se fue."],
+    ["Le 3 févr. 2024 tout allait bien.", "Puis plus rien."],
+    ["Am 5. Okt. 2023 kam er.", "Dann ging er."],
+    ["We left 3 days ago.", "5 people came."],
+    ["In Dec. the line stopped.", "Next came rain."],
+    ["There were two; both broke.", "One was new."],
+    ["She lives in Washington, D.C. and works there.", "He does not."],
+    ["Version 2.4.1 shipped at 5 p.m.", "Nobody noticed!"],
+    ["【注意】必ず止めること。", "次に弁を閉める。"],
+]
+
+
+@pytest.mark.parametrize("parts", OTHER_SCRIPTS_AND_CASES)
+def test_scripts_and_casing(parts):
+    assert cut(" ".join(parts)) == parts
+
+
 NO_BLANK = [
     ["班长说：“先停机。再检查阀门。”随后关闭了电源。", "操作员问：“还能继续吗？”没有人回答。", "质检员发现封口不良……但没有报废。", "请停止！"],
     ["班長は「一度止めよう。弁を見る。」と述べて電源を切った。", "振動は2.9から35.27に上昇した。"],

@@ -48,13 +48,13 @@ def test_characters_only_as_a_last_resort(spark):
     assert all(len(p[3]) <= 4 for p in pieces(spark, "😀" * 11, 4, 1))
 
 
-@pytest.mark.parametrize(("limit", "overlap"), [(7, 0), (20, 5), (50, 10), (64, 31), (9, 100)])
+@pytest.mark.parametrize(("limit", "overlap"), [(7, 0), (20, 5), (50, 10), (64, 31), (9, 100), (10, 9), (100, 70)])
 def test_random_texts_keep_the_rules(spark, limit, overlap):
     rng = random.Random(limit)
     alphabet = ["word", "longerword", ". ", "! ", "\n", "\n\n", ", ", " ", "。", "字", "😀", "é", "ไทย", "1,5", '." ', "a" * 30]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 120))) for _ in range(40)]
     rows = split_oversized(spark.createDataFrame([(t, t, limit, overlap, None) for t in texts], SCHEMA)).collect()
-    lap = min(overlap, (limit - 1) // 2)
+    lap = min(overlap, limit - 1)
     for r in rows:
         got = [(p.piece_no, p.start_char, p.end_char, p.piece) for p in r.pieces]
         check(r.text, got, limit, lap)

@@ -81,7 +81,7 @@ rows as (select 'extracted_triples.predicate' as f, {_TERM.format('predicate')}
          union all select 'document_links.relationship', {_TERM.format('relationship')}, nullif({_key('document_id')}, '') from (select distinct * from document_links)),
 freq as (select f, term, count(*) as occurrences, count(distinct doc) as documents from rows where term is not null group by all),
 alldocs as (select f, count(distinct doc) as field_documents from rows where term is not null group by all),
-marked as (select f as field_name, term, occurrences, documents, field_documents, case when documents < 5 then 'rare' when documents > 0.15 * field_documents then 'common' end as mark from freq join alldocs using (f))"""
+marked as (select f as field_name, term, occurrences, documents, field_documents, case when documents = 0 then null when documents < 5 then 'rare' when documents > 0.15 * field_documents then 'common' end as mark from freq join alldocs using (f))"""
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_terms, p6_containers, p6_fill, p7_found, p7_report, p8_found, p8_sentences)}
 SQL = {

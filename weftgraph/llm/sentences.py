@@ -13,6 +13,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 # ---------------------------------------------------------------- fixed values
@@ -32,7 +33,42 @@ etc usw usf inc ltd co corp bros llc plc u.s u.k u.s.a u.n e.u a.m p.m hrs std m
 ud uds s.a s.l cía s.a.r.l т.д т.п др мес шт ч мин сек тыс млн млрд руб коп г гг в.в вв кг см ул
 """.split()
 COMPANY = set("inc ltd co corp bros llc plc gmbh".split())
-MONTHS = set("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
+#: Months, before which a number with a dot is a day.
+MONTHS = set("""
+januar jänner februar märz april mai juni juli august september oktober november dezember
+january february march may june july october december
+enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre
+janvier février mars avril juin juillet août septembre octobre novembre décembre
+gennaio febbraio aprile maggio giugno luglio settembre ottobre dicembre
+janeiro fevereiro março maio junho julho setembro outubro novembro dezembro
+januari februari maart mei augustus marts maj
+январь февраль март апрель май июнь июль август сентябрь октябрь ноябрь декабрь
+января февраля марта апреля мая июня июля августа сентября октября ноября декабря
+""".split())
+#: Months cut short; a day or a year follows them within the sentence.
+SHORT_MONTHS = """
+jan feb mar apr jun jul aug sep sept oct nov dec jän mrz okt dez
+ene abr ago set dic janv févr avr juil déc gen mag giu lug ott fev mai out maa mei
+янв фев февр мар апр июн июл авг сен сент окт ноя нояб дек
+""".split()
+#: Words that begin sentences far more often than they are names.
+OPENERS = set("""
+the a an this that these those it he she they we you i there then here if when while after before but and so no what why how in on at for from as all
+der die das ein eine er sie es wir ihr ich dies diese dieser dann danach dort hier wenn als aber und
+el la los las un una él ella ellos se esto esta este luego después si cuando pero y
+le les une il elle ils elles nous vous je ce cette ces puis ensuite quand mais et
+он она оно они мы вы я это этот эта эти затем потом если когда но и в на
+""".split())
+#: Symbols of units of one capital letter: volt, ampere, watt, coulomb, litre, kelvin, newton, joule, mega.
+UNIT_SYMBOLS = set("VAWCLKNJM")
+
+#: A line is a title up to this many characters.
+TITLE_CHARS = 60
+#: A bracket from this many characters on may be a sentence that ends the one before it.
+ASIDE_CHARS = 20
+#: Lines of this many characters or more are wrapped prose; one that stays under this share of the widest line of its
+#: block (of hard-wrapped width) although the next word had room was ended on purpose.
+WRAPPED_CHARS, WRAPPED_SHARE, WRAPPED_WIDTH = 25, 0.7, 100
 
 PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "《": "》", "〈": "〉", "(": ")", "（": "）", "[": "]", "【": "】", "{": "}", '"': '"', "‘": "’", "＂": "＂"}
 CLOSING = set("”»›」』》〉)）]】}\"“’＂")
@@ -53,6 +89,10 @@ def _trie(words: list[str], mark: str, root: dict) -> dict:
 
 TRIE = _trie(TRAILING, "trailing", {})
 _trie([w for w in LEADING if w not in TRAILING], "leading", TRIE)
+_trie(SHORT_MONTHS, "month", TRIE)
+
+
+_DOTTED_MONTH = re.compile(rf"(?:{'|'.join(SHORT_MONTHS)})\.", re.I)
 
 
 def _lookup(word: str) -> str | None:
@@ -71,11 +111,16 @@ _LOG = re.compile(r"[ \t]*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d(?:[.,]\d+)?
 _DUMP = re.compile(r"[ \t]*(?:[0-9A-Fa-f]{32,}|[A-Za-z0-9+/=_]{60,})[ \t]*$")
 _EMPTY = re.compile(r"\n[^\S\n]*(?=\n)")
 
-_TERMINATORS = ".!?…。！？｡．।॥؟۔"
-_EVENT = re.compile(rf"[{_TERMINATORS}]+|[“”„«»‹›「」『』《》〈〉()（）\[\]【】{{}}\"＂‘’]|\n|(?<=[฀-๿])[ \t  ​]+(?=\S)")
-_WIDE = set("。！？｡।॥")
-_STRONG = set("!?؟۔！？")
-_STAND_IN = {"．": "."}
+#: Unicode's sentence terminals but for the Burmese comma, and marks that stand in for them in East Asia and Greece.
+_TERMINATORS = "".join(c for c in regex.findall(r"\p{Sentence_Terminal}", "".join(map(chr, range(0x20000)))) if c not in "၊․") + "…｡．\u037e"
+_STRONG = set("!?؟۔！？‼‽⁇⁈⁉⸮;\u037e")
+#: Marks that end a sentence whatever follows: those of scripts that have a full stop of their own.
+_WIDE = set(_TERMINATORS) - set(".…．؟۔!?‼‽⁇⁈⁉⸮\u037e")
+_GREEK = re.compile("[\u0370-\u03ff\u1f00-\u1fff]")
+_ENDS = frozenset(_TERMINATORS)
+# characters past U+FFFF stand apart: in one class with the others they make it slow
+_END = re.escape("".join(c for c in _TERMINATORS if c < "\U00010000"))
+_EVENT = re.compile(rf"[{_END}]+|[;“”„«»‹›「」『』《》〈〉()（）\[\]【】{{}}\"＂‘’\n]|(?<=[฀-๿])[ \t  ​]+(?=\S)|[\U00010A00-\U0001FFFF]")
 _SPACE = re.compile(r"[\s​⁠﻿­]*")
 _FIRST_WORD = re.compile(r"\S+")
 _PARTICLE = re.compile(r"[とってはがのをにも라이고하며면는]|という")
@@ -191,14 +236,14 @@ class _Span:
             elif c == "\n":
                 if not depth and self.hard_break(i):
                     self.emit(i)
-            elif c in _TERMINATORS:
+            elif c in _ENDS or c == ";" and _GREEK.match(text[i - 1 : i]):
                 end, opener = m.end(), -1
                 while end < hi:
                     if end in closes:
                         opener, depth, end = closes[end], depth - 1, end + 1
-                    elif text[end] in _TERMINATORS or text[end] in CLOSING and end not in opens and text[end] not in '"“':
+                    elif text[end] in _ENDS or text[end] in CLOSING and end not in opens and text[end] not in '"“':
                         end += 1
-                    elif text[end] in INVISIBLE and end + 1 < hi and (end + 1 in closes or text[end + 1] in _TERMINATORS):
+                    elif text[end] in INVISIBLE and end + 1 < hi and (end + 1 in closes or text[end + 1] in _ENDS):
                         end += 1
                     elif text[end] in "   " and end + 1 in closes and text[end + 1] in "»›":
                         end += 1
@@ -209,7 +254,7 @@ class _Span:
                 if not depth and self.ends(i, m.end(), end, opener, opens):
                     self.emit(end)
                 pos = end
-            elif not depth and c not in CLOSING and c not in PAIRS:  # a blank after Thai
+            elif not depth and c != ";" and c < "\U00010000" and c not in CLOSING and c not in PAIRS:  # a blank after Thai
                 if self.thai_break(i, m.end()):
                     self.emit(i)
         self.emit(hi)
@@ -229,14 +274,14 @@ class _Span:
             return False
         if not self.width:
             self.width = max(len(x.strip()) for x in text[self.lo : hi].split("\n"))
-        if len(line) < 25 or "\t" in text[self.lo : hi] or kind != "U":
+        if len(line) < WRAPPED_CHARS or "\t" in text[self.lo : hi] or kind != "U":
             return False
-        return len(line) + 1 + len(m.group()) <= 0.7 * self.width and self.width <= 100 and "-\n" not in text[self.lo : hi]
+        return len(line) + 1 + len(m.group()) <= WRAPPED_SHARE * self.width and self.width <= WRAPPED_WIDTH and "-\n" not in text[self.lo : hi]
 
     def aside(self, i: int, close: int) -> bool:
         """Whether a bracket is a sentence of its own, so that what stands before it ends even without a mark."""
         text = self.text
-        if close - i < 20 or text[close - 1] not in ".!?" or not text[i + 1].isupper() or not text[i - 1 : i].isspace():
+        if close - i < ASIDE_CHARS or text[close - 1] not in ".!?" or not text[i + 1].isupper() or not text[i - 1 : i].isspace():
             return False
         k = _SPACE.match(text, close + 1, self.hi).end()
         if k < self.hi and _kind(text[k]) not in "Uoc" or text[close - 1] == "." and _lookup(_word_before(text, i, close - 1)[1].lower()):
@@ -269,7 +314,7 @@ class _Span:
             return whole and not _PARTICLE.match(text, k)
         if any(c in _STRONG for c in marks):
             if kind == "l":
-                return bool(line_end and opener < 0 and nxt.isalpha() is False) or self.camel(k)
+                return bool(line_end and opener < 0 and nxt.isalpha() is False) or self.camel(k) or blank and opener < 0 and self.uncapitalised(i)
             if not blank and opener >= 0 and not whole:
                 return kind == "U"
             return kind in "Ucdo" or kind == "x" and blank
@@ -294,7 +339,7 @@ class _Span:
                 if verdict is not None:
                     return verdict
         if kind == "l":
-            return self.camel(k)
+            return self.camel(k) or not closed and self.uncapitalised(i)
         if kind == "x":
             return nxt in "$€£#+•@✓" or ord(nxt) > 0x2100
         return True
@@ -314,6 +359,17 @@ class _Span:
         """Words such as pH begin a sentence in lower case."""
         return re.match(r"[a-z]{1,2}[A-Z]", self.text[k : k + 3]) is not None
 
+    def uncapitalised(self, i: int) -> bool:
+        """Whether the sentence so far is written without capitals, so that the next may begin without one."""
+        a = self.first()
+        return a < i and self.text[a].islower() and self.text[i - 1].isalpha() and not any(c.isupper() for c in self.text[a:i])
+
+    def names_a_thing(self, w: int, k: int) -> bool:
+        """Whether a lone capital ends its sentence: a word in lower case stands before it and one that opens sentences after it."""
+        before = re.search(r"(\w+) $", self.text[max(self.lo, w - 30) : w])
+        after = re.match(r"\w+", self.text[k : k + 12])
+        return bool(before and before[1].islower() and after and after[0].lower() in OPENERS and self.text[k + after.end() : k + after.end() + 1] != ".")
+
     def file_like(self, w: int, k: int) -> bool:
         before = self.text[max(self.lo, w - 1) : w]
         return before in ("/", "\\", "@", "_")
@@ -323,7 +379,7 @@ class _Span:
         text, lo, low = self.text, self.lo, word.lower()
         if word.isdecimal():
             if len(word) <= 2 and kind == "U":
-                return False if re.match(r"\w+", text[k : k + 12]).group().lower() in MONTHS else None
+                return False if re.match(r"\w+", text[k : k + 12])[0].lower() in MONTHS or _DOTTED_MONTH.match(text, k) else None
             return None
         if w > lo and text[w - 1] in "/_@":
             return None
@@ -334,13 +390,15 @@ class _Span:
             mark = _lookup(low)
         if len(word) == 1 and mark != "trailing":
             after_number = re.search(r"\d[   ]?$", text[max(lo, w - 3) : w])
-            if after_number and (word.islower() or kind != "U" or word in "VAWCLKNJM"):
+            if after_number and (word.islower() or kind != "U" or word in UNIT_SYMBOLS):
                 return None
             if mark is None and word.islower() and kind == "U" and not re.search(r"\w\.\s*$", text[max(lo, w - 4) : w]) and text[k + 1 : k + 2] != ".":
                 return None  # a word of one letter
             if mark is None and not (word.isupper() and kind in "Uo" or kind == "l" or word.isalpha() and kind in "dU"):
                 return None
-            return False
+            return None if word.isupper() and kind == "U" and self.names_a_thing(w, k) else False
+        if mark == "month":
+            return False if kind == "d" and (word[0].isupper() or re.search(r"\d[.]?\s*$", text[max(lo, w - 4) : w])) else None
         if mark == "leading":
             return False
         if mark == "trailing":
@@ -350,7 +408,7 @@ class _Span:
                 return not (low in COMPANY and follows in COMPANY)
             if kind == "o":
                 if text[k] in "([（":
-                    return k in opens and text[opens[k] - 1] in _TERMINATORS
+                    return k in opens and text[opens[k] - 1] in _ENDS
                 return True
             return kind == "c" or kind == "l" and self.camel(k)
         if "." in word and len(low.replace(".", "")) <= 3 and all(len(p) == 1 for p in low.split(".")):
@@ -416,7 +474,7 @@ def _closes_line(text: str, end: int) -> bool:
         if text[i] == "\n":
             return False
         i -= 1
-    return i >= 0 and text[i] in _TERMINATORS
+    return i >= 0 and text[i] in _ENDS
 
 
 def _item_after_heading(text: str, a: int, b: int) -> bool:
@@ -428,7 +486,7 @@ def _item_after_heading(text: str, a: int, b: int) -> bool:
 def _heading(line: str) -> bool:
     """Short, without a final mark, and beginning like a title."""
     line = line.strip()
-    return 0 < len(line) <= 60 and line[0] not in "\"“(" and (line[0].isupper() or line[0].isdigit()) and line[-1] not in ",;:-" and not _INNER_END.search(line)
+    return 0 < len(line) <= TITLE_CHARS and line[0] not in "\"“(" and (line[0].isupper() or line[0].isdigit()) and line[-1] not in ",;:-" and not _INNER_END.search(line)
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:

@@ -32,25 +32,26 @@ BLANK = r"(?<=\s)(?!\s)"
 WHOLE_CHARACTER = r"(?![\p{M}‍️])(?<!‍)"
 
 
-def piece_pattern(first: str, later: str, least: str, lap: str) -> Column:
-    """The pattern of a row, from SQL of the room of the first and later pieces, the least piece and the overlap.
+def piece_pattern(limit: str, lap: str) -> Column:
+    """The pattern of a row, from SQL of the limit and the overlap.
 
-    A boundary is first looked for in the upper part of the room (from ``least`` on), by
-    strength; failing that anywhere, by strength; then between whole characters; then anywhere.
-    The first piece holds the overlap at least, since the second looks back into it.
+    A boundary is first looked for in the upper half of the room, by strength; failing that
+    anywhere, by strength; then between whole characters; then anywhere. The first piece holds
+    the overlap at least, since the second looks back into it; the new text of later ones has
+    the limit less the overlap as room.
     """
     bounds = [PARAGRAPH, LINE, SENTENCE, CLAUSE, BLANK]
 
     def room(size: Column, floor: Column) -> Column:
+        floor = F.greatest(F.lit(1), floor)
+        low = F.greatest(floor, (size / 2).cast("int")).cast("string")
         take = lambda lo: F.concat(F.lit(".{"), lo, F.lit(","), size.cast("string"), F.lit("}"))
-        low = F.least(F.expr(least), size).cast("string")
         options = [F.concat(take(F.lit("1")), F.lit(r"+\z"))]
-        floor = F.greatest(F.lit(1), floor).cast("string")
         options += [F.concat(take(low), F.lit(b)) for b in bounds]
-        options += [F.concat(take(floor), F.lit(b)) for b in (*bounds, WHOLE_CHARACTER, "")]
+        options += [F.concat(take(floor.cast("string")), F.lit(b)) for b in (*bounds, WHOLE_CHARACTER, "")]
         return F.concat(F.lit("(?:"), F.concat_ws("|", *options), F.lit(")"))
 
-    return F.concat(F.lit(r"(?s)(?:\A"), room(F.expr(first), F.expr(lap)), F.lit(r"|(?!\A)"), room(F.expr(later), F.lit(1)), F.lit(")"))
+    return F.concat(F.lit(r"(?s)(?:\A"), room(F.expr(limit), F.expr(lap)), F.lit(r"|(?!\A)"), room(F.expr(limit) - F.expr(lap), F.lit(1)), F.lit(")"))
 
 
 def split_oversized(items: DataFrame, text: str = "text", limit: str = "max_chars", overlap: str = "overlap_chars") -> DataFrame:
@@ -59,15 +60,15 @@ def split_oversized(items: DataFrame, text: str = "text", limit: str = "max_char
     Sizes are code points. No piece is longer than ``limit``; the first begins at 0, the last
     ends at the end, and each later one begins ``overlap`` characters before its predecessor
     ends. Texts within the limit, and those with a null or non-positive limit, are one piece; a
-    null text has null, an empty text no pieces. A null or negative overlap is 0; one of half
-    the limit or more is cut down to under a half, since pieces would hardly advance.
-    Other columns stay; clashing helper names aren't used. Repeated rows stay repeated.
+    null text has null, an empty text no pieces. Any overlap under the limit is kept; a null or
+    negative one is 0, one that isn't under the limit is the limit less one, since pieces must
+    advance. Other columns stay; clashing helper names aren't used. Repeated rows stay repeated.
     """
     size, lim = F.char_length(F.col(text)), F.col(limit)
-    lap = F.greatest(F.lit(0), F.least(F.coalesce(F.col(overlap), F.lit(0)), F.floor((lim - 1) / 2).cast("int")))
+    lap = F.greatest(F.lit(0), F.least(F.coalesce(F.col(overlap), F.lit(0)), lim - 1))
     large = (lim > 0) & (size > lim)
     named = items.withColumn("_split", F.when(large, F.struct(lim.alias("room"), lap.alias("lap"))))
-    pattern = piece_pattern("_split.room", "_split.room - _split.lap", "greatest(1, _split.lap, (_split.room - _split.lap) div 2)", "_split.lap")
+    pattern = piece_pattern("_split.room", "_split.lap")
     parts = F.when(F.col("_split").isNotNull(), F.regexp_extract_all(F.col(text), pattern, F.lit(0))).when(size > 0, F.array(F.col(text))).when(size == 0, F.array().cast("array<string>"))
     back = F.coalesce(F.col("_split.lap"), F.lit(0))
 

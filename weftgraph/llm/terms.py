@@ -125,7 +125,8 @@ def term_frequencies(counts: DataFrame, rare_below: int = 5, common_above: float
     ``documents`` counts distinct documents, so rows without one add to ``occurrences`` only.
     ``mark`` is rare for terms in fewer than ``rare_below`` documents, else common for terms in
     more than the share ``common_above`` of the documents that hold any term of the field, else
-    null. Empty input gives no rows.
+    null. A term that stands in rows without a document only is in no document and has no mark.
+    Empty input gives no rows.
     """
     # summed again, so that counts of several deliveries of the same pair meet; cut because three plans read it
     counts = cut(counts.groupBy("field_name", "term", "doc").agg(F.sum("n").alias("n")))
@@ -139,5 +140,5 @@ def term_frequencies(counts: DataFrame, rare_below: int = 5, common_above: float
     summed = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "id bigint, occurrences bigint, documents bigint")
     field_docs = counts.filter("doc is not null").select("field_name", "doc").distinct().groupBy("field_name").agg(F.count("*").alias("field_documents"))
     marked = ids.join(summed, "id").join(F.broadcast(field_docs), "field_name", "left").withColumn("field_documents", F.coalesce("field_documents", F.lit(0).cast("bigint")))  # one row per field
-    mark = F.when(F.col("documents") < rare_below, "rare").when(F.col("documents") > F.col("field_documents") * common_above, "common")
+    mark = F.when(F.col("documents") == 0, None).when(F.col("documents") < rare_below, "rare").when(F.col("documents") > F.col("field_documents") * common_above, "common")
     return marked.select("field_name", F.col("id").alias("term_id"), "term", "occurrences", "documents", "field_documents", mark.alias("mark"))
