@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from weftgraph.llm import leakage as L
 
 ITEM = "item_id bigint, question string, category string, answer string, expect string, passage string, lang string"
@@ -22,7 +24,6 @@ def test_bare_text():
     assert L.bare("Ａb­-C 1​!\n_é") == "abc1é" and L.bare(None) == ""
     ascii_ = "".join(map(chr, range(128)))
     assert L.bare(ascii_) == L.bare(ascii_ + "é")[:-1]
-    assert L.run_length("zh") == L.run_length("ja ") == 16 and L.run_length("en") == L.run_length(None) == 40
 
 
 def test_dressed_copies_are_found(spark):
@@ -48,12 +49,33 @@ def test_empty_tables(spark):
     assert _leaks(spark, [], [item(1, PASSAGE)]) == [] and _leaks(spark, [(1, PASSAGE, None)], []) == []
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    docs = [(1, PASSAGE, None)]
-    items = [item(n, PASSAGE + str(n)) for n in range(9)]
-    want = _leaks(spark, docs, items)
-    monkeypatch.setattr(L, "ITEMS_PER_INDEX", 2)
-    assert _leaks(spark, docs, items) == want and len(want) == 9
+def test_language_sets_the_run_and_repeated_items_are_settled(spark):
+    rows = [item(1, "p", "zh"), item(2, "p", "ja "), item(3, "p", "zh-CN"), item(4, "p", "en"), item(5, "p", None), item(6, "p", "en"), item(6, "p", "zh"), item(6, "p", "de"), item(None, "p"), item(7, None)]
+    assert {r.item_id: r.run for r in L._wanted(spark.createDataFrame(rows, ITEM)).collect()} == {1: 16, 2: 16, 3: 16, 4: 40, 5: 40, 6: 16}
+
+
+def test_number_of_indexes_plays_no_part(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{n}x{n * 7}" for n in range(200)]
+    items = [item(n, " ".join(rng.choice(words) for _ in range(40)), "zh" if n % 5 == 0 else "en") for n in range(40)]
+    docs = [(n, " ".join(rng.choice(words) for _ in range(60)) + (items[n % 40][5][20 : 20 + rng.randrange(10, 90)] if n % 3 else ""), None) for n in range(60)]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string"), spark.createDataFrame(items, ITEM)
+    run = lambda: sorted((r.doc_id, r.item_id, round(r.bm25, 4), r.shared_run, r.question_share, r.answers_found) for r in L.find_leaks(d, i).collect())
+    want = run()
+    assert len(want) > 20
+    monkeypatch.setattr(L, "INDEX_BYTES", 200 * L.BYTES_PER_CHARACTER * 8)
+    assert run() == want
+    monkeypatch.setattr(L, "FILTER_BYTES", 1024)  # a filter that lets nearly everything pass
+    assert run() == want
+
+
+def test_size_of_an_index_is_what_is_reckoned():
+    import pickle
+
+    rng = random.Random(1)
+    items = [L.Item(n, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2000)), 40, "", []) for n in range(700)]
+    size = len(pickle.dumps(L.Index(items))) - (1 << 22)
+    assert size < sum(len(i.text) for i in items) * L.BYTES_PER_CHARACTER
 
 
 def _corpus(seed):
@@ -83,13 +105,19 @@ def test_wand_equals_scoring_everything_and_misses_no_run():
             query = sorted(set(terms[: 400].tolist()))
             scores: dict = {}
             for t in query:
-                for doc, w in zip(index.docs[t], index.weights[t]):
+                for doc, w in zip(*index.list_of(t)):
                     scores[doc] = scores.get(doc, 0.0) + w
             want = {doc for doc, s in scores.items() if s >= index.least[doc] + 1e-6}
             got = {doc for doc, _ in index.search(query)}
             assert want <= got <= {doc for doc, s in scores.items() if s >= index.least[doc] - 1e-6}
-            brute = {n for n, i in enumerate(index.items) if any(whole[p : p + i.run] in index.run_grams[n] for p in range(len(whole) - i.run + 1))}
-            assert {x[0] for x in index.leaks(d)} == brute
+            brute = {n for n, i in enumerate(index.items) if any(whole[p : p + i.run] in i.text for p in range(len(whole) - i.run + 1))}
+            assert {x[0] for x in index.leaks(whole)} == brute
+            for n, _, run, _, _ in index.leaks(whole):  # and the run is the longest
+                assert [any(whole[p : p + size] in index.items[n].text for p in range(len(whole) - size + 1)) for size in (run, run + 1)] == [True, False]
+            bits = np.zeros(1 << 16, np.uint8)
+            spot = index.terms % np.uint64(1 << 19)
+            np.bitwise_or.at(bits, (spot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8))
+            assert L.shares_run(whole, bits, 16 - L.N + 1) or not brute
 
 
 def test_question_and_answers_are_reported(spark):
