@@ -4,7 +4,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftgraph.operators.intervals import OPEN_END, PeriodMap, intervals, periods_and_gaps
+from weftgraph.operators.intervals import OPEN_END, IntervalMap, intervals, periods_and_gaps
 
 D = dt.date
 SCHEMA = "id string, who string, a date, b date, extra string"
@@ -34,14 +34,42 @@ def brute(records):
     return [(x[0], x[-1], any(len(days[d]) > 1 for d in x)) for x in out]
 
 
-@given(st.lists(st.tuples(st.sampled_from("abcd"), st.integers(0, 40), st.integers(0, 8)), max_size=14))
-@settings(max_examples=300, deadline=None)
-def test_map_equals_counting_days(data):
-    from weftgraph.streaming.interval_stream import _replay
+RECORDS = st.lists(st.tuples(st.sampled_from("abcd"), st.integers(0, 40), st.integers(0, 8)), max_size=14)
+
 
-    m = _replay([(r, a, a + n) for r, a, n in data])
-    assert list(zip(m.first, m.last, m.shared)) == brute([(r, a, a + n) for r, a, n in data])
-    assert all(a <= b for a, b in m.gaps())
+@given(RECORDS)
+@settings(max_examples=300, deadline=None)
+def test_map_equals_counting_days_after_every_insertion_in_any_order(data):
+    m, done = IntervalMap(), []
+    for r, a, n in data:
+        m.insert(a, a + n, r)
+        done.append((r, a, a + n))
+        want = brute(done)
+        assert list(zip(m.starts, m.ends, m.shared)) == want
+        assert m.gaps == [(x[1] + 1, y[0] - 1) for x, y in zip(want, want[1:])]
+        assert all(x <= y for x, y in zip(m.first, m.last)) and all(x < y for x, y in zip(m.last, m.first[1:]))
+
+
+@given(RECORDS, st.randoms())
+@settings(max_examples=150, deadline=None)
+def test_order_and_grouping_of_insertions_play_no_part(data, rng):
+    rows = [(a, a + n, r) for r, a, n in data]
+    whole = IntervalMap(*zip(*rows)) if rows else IntervalMap()
+    rng.shuffle(rows)
+    parts = [IntervalMap(*zip(*rows[i::3])) if rows[i::3] else IntervalMap() for i in range(3)]
+    merged = IntervalMap()
+    for part in parts:
+        for x in zip(part.first, part.last, part.owner):
+            merged.insert(*x)
+    assert [getattr(merged, k) for k in IntervalMap.__slots__] == [getattr(whole, k) for k in IntervalMap.__slots__]
+
+
+def test_state_is_bounded_by_the_days_and_not_by_the_rows():
+    rng, m = random.Random(2), IntervalMap()
+    for n in range(20_000):
+        a = rng.randrange(100)
+        m.insert(a, a + rng.randrange(5), str(n))
+    assert len(m.first) <= 104 and len(m.starts) == 1 and m.gaps == []
 
 
 def test_periods_touch_nest_repeat_and_stay_open(spark):
@@ -81,13 +109,32 @@ def test_hot_entity_equals_counting_days(spark):
         assert [x[2:] for x in _run(spark, data, salts) if x[1] == "period"] == want
 
 
-def test_binary_search_insertion():
-    m = PeriodMap()
-    for a, b in ((10, 12), (20, 22), (1, 2), (13, 19)):
-        m.insert(a, b)
-    assert (m.first, m.last, m.shared) == ([1, 10], [2, 22], [False, False])
-    m.insert(0, 30)
-    assert (m.first, m.last, m.shared) == ([0], [30], [True])
+def test_insertion_merges_and_updates_gaps():
+    m = IntervalMap()
+    for a, b, r in ((10, 12, "x"), (20, 22, "y"), (1, 2, "z")):
+        m.insert(a, b, r)
+    assert m.gaps == [(3, 9), (13, 19)]
+    m.insert(13, 19, "w")
+    assert (m.starts, m.ends, m.shared, m.gaps) == ([1, 10], [2, 22], [False, False], [(3, 9)])
+    m.insert(5, 6, "v")
+    assert m.gaps == [(3, 4), (7, 9)]
+    m.insert(0, 30, "u")
+    assert (m.starts, m.ends, m.shared, m.gaps) == ([0], [30], [True], [])
+
+
+def test_tasks_that_hold_little_give_the_same(spark, monkeypatch):
+    from weftgraph.operators import intervals as I
+
+    rng = random.Random(5)
+    batch = lambda part: I._batch(part, I._PARTS)
+    rows = [("t", f"e{rng.randrange(5)}", str(rng.randrange(40)), a, a + rng.randrange(9)) for a in (rng.randrange(300) for _ in range(400))]
+    final = lambda parts: sorted(tuple(r.values()) for b in I._finish(iter(parts)) for r in b.to_pylist())
+    want = final([batch(sorted(rows))])
+    monkeypatch.setattr(I, "HELD", 7)
+    monkeypatch.setattr(I, "EMIT", 3)
+    parts = [tuple(r.values()) for b in I._fold(iter([batch(rows[:150]), batch(rows[150:])])) for r in b.to_pylist()]
+    assert final([batch(sorted(parts, key=lambda x: x[:2]))]) == want
+    assert {(e, a, b, s) for _, e, k, a, b, s in want if k == "period"} == {(e, *x) for e in {r[1] for r in rows} for x in brute([(r[2], r[3], r[4]) for r in rows if r[1] == e])}
 
 
 def test_stream_withdraws_what_vanished(spark, tmp_path):
@@ -123,3 +170,4 @@ def test_stream_gives_the_same(spark, tmp_path):
     q.stop()
     got = {(r["kind"], r["a"], r["b"], r["shared"]) for r in spark.table("periods").collect()}
     assert {("period", 1, 5, False), ("period", 10, 20, True), ("gap", 6, 9, False)} <= got
+    assert len(got) >= 3

@@ -1,16 +1,17 @@
 """Continuous periods and gaps of day intervals per entity.
 
-State per entity is an ordered map of disjoint periods. An insertion finds the periods it
-touches by binary search, replaces them by their union and thereby closes or narrows the
-gaps between them. The map of an entity is bounded by the calendar, never by its rows:
-rows are first folded into maps per (entity, salt of the record), so a hot entity is
-spread over many tasks, and only those maps meet in one task.
+The state of an entity is an ordered map of disjoint intervals. An insertion finds what it
+overlaps by binary search, merges it, and updates the periods and the gaps between them, in
+whatever order rows come. Each day keeps the record that covers it, or the mark that several do,
+so a record delivered again never overlaps itself, insertions commute, and the map is
+bounded by the calendar and not by the rows. Maps of parts of an entity merge by the same
+insertion, so rows are folded where they are read and a hot entity is spread over many tasks.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,126 +21,176 @@ from weftgraph.functions.keys import real_key
 
 #: Day number of 9999-12-31, which stands for an open end.
 OPEN_END = 2932896
+#: Intervals that a task holds in the maps of all its entities before it hands them on.
+HELD = 200_000
+#: Rows of a result batch.
+EMIT = 20_000
 
 
-class PeriodMap:
-    """Disjoint, non-touching day periods in order, each with a mark if two records share a day in it."""
+class IntervalMap:
+    """Days by the record that covers them, the periods they form, and the gaps between these.
 
-    __slots__ = ("first", "last", "shared")
-
-    def __init__(self, first: list[int] | None = None, last: list[int] | None = None, shared: list[bool] | None = None):
-        self.first, self.last, self.shared = first or [], last or [], shared or []
+    ``first``, ``last`` and ``owner`` are disjoint intervals in order, ``owner`` None where two or more
+    records share the days. ``starts``, ``ends`` and ``shared`` are the periods: disjoint, not
+    touching, in order, marked if they hold a shared day. ``gaps[i]`` lies between periods i and i + 1.
+    """
 
-    def insert(self, a: int, b: int, shared: bool = False) -> None:
-        """Add days ``a`` to ``b`` of a record whose days in the map don't include any of them."""
-        lo = bisect_left(self.last, a - 1)  # the first period that ends on the day before a or later
-        hi = bisect_right(self.first, b + 1)  # past the last that begins on the day after b or earlier
+    __slots__ = ("first", "last", "owner", "starts", "ends", "shared", "gaps")
+
+    def __init__(self, first: Iterable[int] = (), last: Iterable[int] = (), owner: Iterable[str | None] = ()):
+        self.first, self.last, self.owner = [], [], []
+        self.starts, self.ends, self.shared, self.gaps = [], [], [], []
+        for a, b, r in zip(first, last, owner):
+            self.insert(a, b, r)
+
+    def insert(self, a: int, b: int, record: str | None) -> None:
+        """Add days ``a`` to ``b`` of ``record`` (None: of several records)."""
+        self._merge(a, b, self._cover(a, b, record))
+
+    def _cover(self, a: int, b: int, record: str | None) -> bool:
+        """Note who covers the days; whether any of them is shared now."""
+        lo, hi = bisect_left(self.last, a), bisect_right(self.first, b)
+        if lo == hi:  # nobody was here
+            new = [(a, b, record)]
+        else:
+            new, at = [], a
+            for x, y, r in zip(self.first[lo:hi], self.last[lo:hi], self.owner[lo:hi]):
+                if x < a:
+                    new.append((x, a - 1, r))
+                elif at < x:
+                    new.append((at, x - 1, record))
+                new.append((max(x, a), min(y, b), r if r == record else None))
+                if y > b:
+                    new.append((b + 1, y, r))
+                at = y + 1
+            if at <= b:
+                new.append((at, b, record))
+        shared = any(r is None and x <= b and y >= a for x, y, r in new)
+        # neighbours of one owner are one interval
+        if lo and self.last[lo - 1] == new[0][0] - 1 and self.owner[lo - 1] == new[0][2]:
+            lo -= 1
+            new[0] = (self.first[lo], new[0][1], new[0][2])
+        if hi < len(self.first) and self.first[hi] == new[-1][1] + 1 and self.owner[hi] == new[-1][2]:
+            new[-1] = (new[-1][0], self.last[hi], new[-1][2])
+            hi += 1
+        joined = [new[0]]
+        for x, y, r in new[1:]:
+            if r == joined[-1][2] and x == joined[-1][1] + 1:
+                joined[-1] = (joined[-1][0], y, r)
+            else:
+                joined.append((x, y, r))
+        self.first[lo:hi], self.last[lo:hi], self.owner[lo:hi] = map(list, zip(*joined))
+        return shared
+
+    def _merge(self, a: int, b: int, shared: bool) -> None:
+        """Unite the periods that the days overlap or touch, and close, narrow or open the gaps around them."""
+        lo = bisect_left(self.ends, a - 1)  # the first period that ends on the day before a or later
+        hi = bisect_right(self.starts, b + 1)  # past the last that begins on the day after b or earlier
         if lo < hi:
-            shared = shared or any(self.shared[lo:hi]) or bisect_left(self.last, a) < bisect_right(self.first, b)
-            a, b = min(a, self.first[lo]), max(b, self.last[hi - 1])
-        self.first[lo:hi], self.last[lo:hi], self.shared[lo:hi] = [a], [b], [shared]
-
-    def gaps(self) -> list[tuple[int, int]]:
-        return [(e + 1, s - 1) for e, s in zip(self.last, self.first[1:])]
-
-
-def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:
-    return [batch.column(n).to_pylist() for n in names]
-
-
-def _fold_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group, entity, salt, record, day → the periods of each (group, entity, salt)."""
-    key, state, record, open_ = None, PeriodMap(), None, None
-    out: list[tuple] = []
-
-    def flush_record() -> None:
-        if open_:
-            state.insert(*open_)
+            shared = shared or any(self.shared[lo:hi])
+            a, b = min(a, self.starts[lo]), max(b, self.ends[hi - 1])
+        around = [(self.ends[lo - 1] + 1, a - 1)] if lo else []
+        if hi < len(self.starts):
+            around.append((b + 1, self.starts[hi] - 1))
+        self.gaps[max(lo - 1, 0) : hi] = around
+        self.starts[lo:hi], self.ends[lo:hi], self.shared[lo:hi] = [a], [b], [shared]
 
-    def flush_key() -> None:
-        flush_record()
-        out.extend((*key, a, b, s) for a, b, s in zip(state.first, state.last, state.shared))
+    def results(self) -> Iterator[tuple[str, int, int, bool]]:
+        """(kind, first day, last day, shared) of the periods and gaps."""
+        for a, b, s in zip(self.starts, self.ends, self.shared):
+            yield "period", a, b, s
+        for a, b in self.gaps:
+            yield "gap", a, b, False
 
-    for batch in batches:
-        for g, e, salt, r, a, b in zip(*_columns(batch, "ref_table", "entity_key", "salt", "record", "a", "b")):
-            if (g, e, salt) != key:
-                if key is not None:
-                    flush_key()
-                key, state, record, open_ = (g, e, salt), PeriodMap(), r, (a, b)
-            elif r != record or a > open_[1] + 1:
-                flush_record()
-                record, open_ = r, (a, b)
-            elif b > open_[1]:  # the same record again: its own days are united before they enter the map
-                open_ = (open_[0], b)
-        if len(out) > 20_000:
-            yield _batch(out)
-            out = []
-    if key is not None:
-        flush_key()
-    if out:
-        yield _batch(out)
-
-
-_FOLDED = "ref_table string, entity_key string, salt int, a int, b int, shared boolean"
 
+_PARTS = "ref_table string, entity_key string, record string, a int, b int"
+_RESULTS = "ref_table string, entity_key string, kind string, a int, b int, shared boolean"
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    g, e, salt, a, b, s = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(e, pa.string()), pa.array(salt, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(s, pa.bool_())], ["ref_table", "entity_key", "salt", "a", "b", "shared"])
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, t in zip(zip(*rows), kinds)], list(names))
 
-def _merge_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Periods sorted by group and entity → the periods and gaps of the whole entity."""
-    key, state, out = None, PeriodMap(), []
-
-    def flush() -> None:
-        out.extend((*key, "period", a, b, s) for a, b, s in zip(state.first, state.last, state.shared))
-        out.extend((*key, "gap", a, b, False) for a, b in state.gaps())
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        g, e, k, a, b, s = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(e, pa.string()), pa.array(k, pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(s, pa.bool_())], ["ref_table", "entity_key", "kind", "a", "b", "shared"])
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, str | None, int, int]]:
     for batch in batches:
-        for g, e, a, b, s in zip(*_columns(batch, "ref_table", "entity_key", "a", "b", "shared")):
-            if (g, e) != key:
-                if key is not None:
-                    flush()
-                key, state = (g, e), PeriodMap()
-            state.insert(a, b, s)
-        if len(out) > 20_000:
-            yield batch_of(out)
-            out = []
-    if key is not None:
-        flush()
+        yield from zip(*(batch.column(c).to_pylist() for c in ("ref_table", "entity_key", "record", "a", "b")))
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in any order → the intervals of the maps that they form, key by key; handed on once too many are held."""
+    state: dict[tuple[str, str], IntervalMap] = {}
+    held = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for key, m in state.items():
+            out.extend((*key, r, a, b) for a, b, r in zip(m.first, m.last, m.owner))
+            if len(out) > EMIT:
+                yield _batch(out, _PARTS)
+                out = []
+        if out:
+            yield _batch(out, _PARTS)
+
+    for t, e, r, a, b in _rows(batches):
+        m = state.get((t, e))
+        if m is None:
+            m = state[t, e] = IntervalMap()
+        held -= len(m.first)
+        m.insert(a, b, r)
+        held += len(m.first)
+        if held > HELD:
+            yield from flush()
+            state, held = {}, 0
+    yield from flush()
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals of whole entities, one entity after the other and each in any order → their periods and gaps."""
+    key, state, out = None, IntervalMap(), []
+    for t, e, r, a, b in _rows(batches):
+        if (t, e) != key:
+            out.extend((*key, *x) for x in state.results()) if key else None
+            key, state = (t, e), IntervalMap()
+            if len(out) > EMIT:
+                yield _batch(out, _RESULTS)
+                out = []
+        state.insert(a, b, r)
+    if key:
+        out.extend((*key, *x) for x in state.results())
     if out:
-        yield batch_of(out)
+        yield _batch(out, _RESULTS)
 
 
 def intervals(rows: DataFrame, name: str, entity: list[str], record: str, start: str, end: str) -> DataFrame:
     """Rows as (ref_table, entity_key, record, a, b) in day numbers.
 
     Both end days belong to the interval, a null end is open. Rows with a null or blank entity
-    key, a null record or start, or an end before the start are left out; repeated rows count once.
+    key, a null record or start, or an end before the start are left out. Repeated rows stay;
+    the map counts them once.
     """
     key = F.concat_ws("|", *(real_key(c) for c in entity))
     kept = rows.filter(F.col(start).isNotNull() & F.col(record).isNotNull())
     for c in entity:
         kept = kept.filter(real_key(c).isNotNull())
-    return (
-        kept.select(F.lit(name).alias("ref_table"), key.alias("entity_key"), F.upper(F.btrim(F.col(record).cast("string"))).alias("record"), F.unix_date(F.col(start)).alias("a"), F.coalesce(F.unix_date(F.col(end)), F.lit(OPEN_END)).alias("b"))
-        .filter("b >= a")
-        .distinct()
-    )
+    return kept.select(F.lit(name).alias("ref_table"), key.alias("entity_key"), F.upper(F.btrim(F.col(record).cast("string"))).alias("record"), F.unix_date(F.col(start)).alias("a"), F.coalesce(F.unix_date(F.col(end)), F.lit(OPEN_END)).alias("b")).filter("b >= a")
+
+
+def fold(rows: DataFrame) -> DataFrame:
+    """Rows of ``intervals`` combined where they are, without a shuffle: the intervals of a map per entity and task."""
+    return rows.select("ref_table", "entity_key", "record", "a", "b").mapInArrow(_fold, _PARTS)
 
 
 def periods_and_gaps(rows: DataFrame, salts: int = 16) -> DataFrame:
     """Rows of ``intervals`` → ref_table, entity_key, kind (period or gap), first_day, last_day (DATE), shared.
 
     ``shared`` marks periods with a day that two or more records cover. An entity with one
-    period has no gap; an empty input gives no rows.
+    period has no gap; an empty input gives no rows. Rows are folded into maps where they are read,
+    those maps by entity and salt, and these by entity: what meets for one entity is at most
+    ``salts`` maps of its days. The salt goes by day, so equal intervals meet in the first step.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(salts)).cast("int"))
-    folded = salted.repartition("ref_table", "entity_key", "salt").sortWithinPartitions("ref_table", "entity_key", "salt", "record", "a").mapInArrow(_fold_records, _FOLDED)
-    merged = folded.repartition("ref_table", "entity_key").sortWithinPartitions("ref_table", "entity_key", "a").mapInArrow(_merge_maps, "ref_table string, entity_key string, kind string, a int, b int, shared boolean")
+    salted = fold(rows).withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+    spread = salted.repartition("ref_table", "entity_key", "salt").mapInArrow(_fold, _PARTS)
+    merged = spread.repartition("ref_table", "entity_key").sortWithinPartitions("ref_table", "entity_key").mapInArrow(_finish, _RESULTS)
     return merged.select("ref_table", "entity_key", "kind", F.date_from_unix_date("a").alias("first_day"), F.date_from_unix_date("b").alias("last_day"), "shared")

@@ -1,7 +1,7 @@
 """Periods and gaps kept up to date over a stream.
 
-State per entity holds the disjoint day spans of every record, so that a record delivered again or
-in parts never counts as an overlap with itself; each batch builds the period map from them anew.
+The state of an entity is its interval map: disjoint intervals of days with the record that covers
+them. Its size is bounded by the calendar, whatever was delivered and however often.
 """
 
 from __future__ import annotations
@@ -12,63 +12,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from weftgraph.operators.intervals import PeriodMap
+from weftgraph.operators.intervals import IntervalMap, fold
 
-STATE = "records array<string>, starts array<int>, ends array<int>"
+STATE = "first array<int>, last array<int>, owner array<string>"
 OUTPUT = "ref_table string, entity_key string, kind string, a int, b int, shared boolean"
 
 
-def _replay(rows: list[tuple[str, int, int]]) -> PeriodMap:
-    """The map of the disjoint days of each record."""
-    state, held = PeriodMap(), None
-    for record, a, b in sorted(rows):
-        if held and held[0] == record and a <= held[2] + 1:
-            held = (record, held[1], max(b, held[2]))
-            continue
-        if held:
-            state.insert(held[1], held[2])
-        held = (record, a, b)
-    if held:
-        state.insert(held[1], held[2])
-    return state
-
-
-def _results(rows: list[tuple[str, int, int]]) -> dict[tuple[str, int], tuple[int, bool]]:
+def _results(m: IntervalMap) -> dict[tuple[str, int], tuple[int, bool]]:
     """(kind, first day) → (last day, shared)."""
-    periods = _replay(rows)
-    return {("period", a): (b, s) for a, b, s in zip(periods.first, periods.last, periods.shared)} | {("gap", a): (b, False) for a, b in periods.gaps()}
+    return {(kind, a): (b, s) for kind, a, b, s in m.results()}
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    old = state.get if state.exists else ([], [], [])
-    rows = set(zip(*old))
-    before = _results(list(rows))
+    m = IntervalMap(*state.get) if state.exists else IntervalMap()
+    before = _results(m)
     for pdf in batches:
-        rows.update(zip(pdf["record"].tolist(), pdf["a"].astype(int).tolist(), pdf["b"].astype(int).tolist()))
-    merged = _squeeze(rows)
-    state.update(tuple(list(c) for c in zip(*merged)) if merged else ([], [], []))
-    now = _results(merged)
-    out = [(*key, *k, *v) for k, v in now.items()] + [(*key, *k, None, None) for k in before if k not in now]
-    yield pd.DataFrame(out, columns=["ref_table", "entity_key", "kind", "a", "b", "shared"]).astype({"b": "Int32", "shared": "boolean"})
-
-
-def _squeeze(rows: set[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Each record's days as disjoint spans, so state doesn't grow with repeated deliveries."""
-    out: list[tuple[str, int, int]] = []
-    for record, a, b in sorted(rows):
-        if out and out[-1][0] == record and a <= out[-1][2] + 1:
-            out[-1] = (record, out[-1][1], max(b, out[-1][2]))
-        else:
-            out.append((record, a, b))
-    return out
+        owners = [r if isinstance(r, str) else None for r in pdf["record"]]
+        for a, b, r in zip(pdf["a"].astype(int).tolist(), pdf["b"].astype(int).tolist(), owners):
+            m.insert(a, b, r)
+    state.update((m.first, m.last, m.owner))
+    now = _results(m)
+    out = [(*key, *k, *v) for k, v in now.items() if before.get(k) != v] + [(*key, *k, None, None) for k in before if k not in now]
+    yield pd.DataFrame(out, columns=["ref_table", "entity_key", "kind", "a", "b", "shared"]).astype({"a": "int32", "b": "Int32", "shared": "boolean"})
 
 
 def stream_periods(rows: DataFrame) -> DataFrame:
-    """A stream of ``intervals`` rows → the current periods and gaps of every entity that a batch touched (update mode).
+    """A stream of ``intervals`` rows → the periods and gaps that a batch changed (update mode).
 
     A later row of the same entity, kind and first day replaces an earlier one downstream; one whose
-    last day is null withdraws it.
-    Late rows are taken in whenever they come. For bounded history at scale use the batch
-    operator, which spreads a hot entity; here an entity's state lives in one task.
+    last day is null withdraws it. Late rows are taken in whenever they come. The rows of a batch
+    are folded into maps before they are shuffled, so what reaches the task of a hot entity is at
+    most one map per task that read the batch.
     """
-    return rows.groupBy("ref_table", "entity_key").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return fold(rows).groupBy("ref_table", "entity_key").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
