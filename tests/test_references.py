@@ -36,6 +36,17 @@ def test_cascade_inherits_to_fixpoint_and_survives_cycles_and_null_keys(spark, m
     assert got == [("b", 0), ("b", 3), ("c", 1), ("d", 2), ("e", 2)]
 
 
+def test_long_chain(spark, monkeypatch):
+    seen = spark.createDataFrame([("t", f"K{n}", T(2020, 1, 1), T(2020, 1, 1), None, 1, 0) for n in range(60)], "target_table string, target_key string, first_seen timestamp_ntz, last_seen timestamp_ntz, gone timestamp_ntz, present int, removed int").coalesce(1)
+    refs = spark.createDataFrame([("t", f"K{n}", "t", f"K{n - 1}" if n else "NONE", T(2021, 1, 1)) for n in range(60)], "ref_table string, row_key string, target_table string, target_key string, recorded_at timestamp_ntz").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r.row_key: r.level for r in R.orphan_cascade(refs, seen).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {f"K{n}": n for n in range(60)}
+
+
 def test_empty_tables(spark):
     spans = _spans(spark, [], [])
     assert R.orphan_cascade(_refs(spark, []), spans).collect() == []

@@ -8,8 +8,9 @@ holds an orphaned reference makes the records that refer to it orphans by inheri
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import norm_key, real_key, reference_key
@@ -83,37 +84,45 @@ def judge(refs: DataFrame, spans: DataFrame) -> DataFrame:
     return joined.select(*REF_COLUMNS, reason.alias("reason"))
 
 
-def orphan_cascade(refs: DataFrame, spans: DataFrame, max_rounds: int = 32) -> DataFrame:
+#: Rounds after which the lists found so far are written as one, so that plans stay short.
+MERGE_ROUNDS = 16
+
+
+def orphan_cascade(refs: DataFrame, spans: DataFrame) -> DataFrame:
     """Direct and inherited orphans over the whole foreign-key graph, to the fixpoint.
 
     Returns ref_table, row_key, target_table, target_key, recorded_at, reason, level.
     Level 0 rows are direct orphans (reason deleted, missing or late). A row at level n > 0
     (reason ``inherited``) refers to a valid record that is an orphan of level n - 1; it is
     listed once, at the first level that reaches it. Each round is a semi-join of the
-    remaining valid references with the records orphaned in the round before; cycles end
-    because a reference is listed once. Each round is checkpointed. Empty tables give no rows.
+    valid references with the records that became orphans in the round before; a record
+    becomes one once, so cycles end, and only keys are written per round, never the references
+    that are left. Rounds go on until none is reached, however deep the graph. Empty tables give no rows.
     """
     judged = cut(judge(refs, spans))
-    found = judged.filter(F.col("reason").isNotNull()).withColumn("level", F.lit(0))
-    rest = judged.filter(F.col("reason").isNull()).drop("reason")
-    frontier = found
-    for level in range(1, max_rounds + 1):
-        orphaned = cut(frontier.select(F.col("ref_table").alias("target_table"), F.col("row_key").alias("target_key")).filter("target_key is not null").distinct())
-        reached = cut(_meet(rest, orphaned, ["target_table", "target_key"], "left_semi"))
-        if reached.isEmpty():
-            return found
-        frontier = reached.withColumn("reason", F.lit("inherited")).withColumn("level", F.lit(level))
-        found = found.unionByName(frontier)
-        # every reference to an orphaned record was just listed, whatever its own key or time
-        rest = cut(_meet(rest, orphaned, ["target_table", "target_key"], "left_anti"))
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-
-
-def _meet(refs: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
-    """References whose target is among ``keys``, or is not: by broadcast up to BROADCAST_KEYS counted keys, else salted."""
-    if keys.count() <= BROADCAST_KEYS:
-        return refs.join(F.broadcast(keys), on, how)
-    return salted_join(refs, keys, on, F.struct("ref_table", "row_key"), how=how)
+    found = [judged.filter(F.col("reason").isNotNull()).withColumn("level", F.lit(0))]
+    valid = judged.filter(F.col("reason").isNull()).drop("reason")
+    known: DataFrame | None = None  # records that are orphans
+    level = total = 0
+    while True:
+        new = found[-1].select(F.col("ref_table").alias("target_table"), F.col("row_key").alias("target_key")).filter("target_key is not null").distinct()
+        new = cut(new if known is None else _meet(new, known, total, ["target_table", "target_key"], "left_anti", F.col("target_key")))
+        size = new.count()
+        if not size:
+            return reduce(DataFrame.unionByName, found)
+        level, total = level + 1, total + size
+        reached = cut(_meet(valid, new, size, ["target_table", "target_key"], "left_semi", F.struct("ref_table", "row_key")))
+        found.append(reached.withColumn("reason", F.lit("inherited")).withColumn("level", F.lit(level)))
+        known = new if known is None else known.unionByName(new)
+        if level % MERGE_ROUNDS == 0:
+            known, found = cut(known), [cut(reduce(DataFrame.unionByName, found[:-1])), found[-1]]
+
+
+def _meet(rows: DataFrame, keys: DataFrame, size: int, on: list[str], how: str, spread: Column) -> DataFrame:
+    """Rows whose key is among the ``size`` counted ``keys``, or is not: by broadcast up to BROADCAST_KEYS, else salted."""
+    if size <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), on, how)
+    return salted_join(rows, keys, on, spread, how=how)
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:
