@@ -208,3 +208,26 @@ def test_router_ties(spark):
     one = spark.range(1)
     pick = lambda **s: one.select(E.argmax_path({k: F.lit(v) for k, v in s.items()})).first()[0]
     assert pick(DB=0, Doc=0, Hybrid=0, LLM=0) == "Hybrid" and pick(DB=3, Doc=3) == "DB" and pick(Doc=1, LLM=1) == "Doc" and pick(LLM=2) == "LLM" and pick(DB=None, LLM="1") == "LLM"
+
+
+def test_vectors_of_another_length_never_hide_the_rest(spark):
+    rows = [(0, [1.0, 0.5])] + [(i, [float(i), 1.0, 0.0]) for i in range(1, 10)] + [(10, None), (11, []), (12, [0.5, 1.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").coalesce(1)
+    q = spark.createDataFrame([(5, [5.0, 1.0, 0.0]), (0, [1.0, 0.5])], "id bigint, v array<double>")
+    want = {(5, 5), (5, 6), (5, 4), (0, 0), (0, 12)}
+    assert {(r.query_id, r.id) for r in V.knn(q, df, "id", "v", 3).collect()} == want
+    assert {(r.query_id, r.id) for r in V.InvertedFile(df, "id", "v", cells=3).search(q, 3, probes=1).collect()} == want
+    assert {(r.a, r.b) for r in V.similar_pairs(df, "id", "v", 0.999).collect()} >= {(8, 9)}
+    named = df.withColumn("id", F.concat(F.lit("k"), "id"))
+    assert {(r.query_id, r.id) for r in V.knn(q.withColumn("id", F.concat(F.lit("k"), "id")), named, "id", "v", 3).collect()} == {(f"k{a}", f"k{b}") for a, b in want}
+    assert {(r.a, r.b) for r in V.similar_pairs(named, "id", "v", 0.999).collect()} >= {("k8", "k9")}
+
+
+def test_latency_by_rank_over_ranges(spark):
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", None]), round(rng.expovariate(1), 2)) for _ in range(700)] + [("c", 1.0), ("a", None)]
+    got = {r.k: (r.n, r.mean, r.median, r.p95, r.total) for r in E.latency(spark.createDataFrame(data, "k string, s double"), "s", "k").collect()}
+    for k in ("a", "b", "c", None):
+        v = sorted(s for g, s in data if g == k and s is not None)
+        assert got[k] == (len(v), round(float(np.mean(v)), 3), round(float(np.median(v)), 3), round(v[max(0, int(0.95 * len(v)) - 1)], 2), round(sum(v), 1))
+    assert E.latency(spark.createDataFrame([], "k string, s double"), "s").count() == 0

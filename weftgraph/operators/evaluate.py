@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_L, _R = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
+from weftgraph.runtime import cut, shuffle_partitions
 
-# What makes an answer abstain, affirm or deny, on lower-case text.
-ABSTAIN = "|".join([r"cannot (?:determine|confirm|deny|provide|verify|say|tell)", r"could ?n[o']?t (?:find|determine|confirm)", rf"no (?:information|data|evidence|record|results?){_R}", r"results? (?:are|is|were|was) empty", r"unable to (?:determine|confirm|find)", r"not (?:documented|present|available|found) in"])
+# What makes an answer abstain, affirm or deny, on lower-case text. Where a word must stand alone, its
+# edges are spelled out, so that SQL engines read the patterns alike.
+ABSTAIN = r"cannot (?:determine|confirm|deny|provide|verify|say|tell)|could ?n[o']?t (?:find|determine|confirm)|no (?:information|data|evidence|record|results?)(?:[^\p{L}\p{N}_]|$)|results? (?:are|is|were|was) empty|unable to (?:determine|confirm|find)|not (?:documented|present|available|found) in"
 NOISE = r"(?:a )?(?:definitive |clear |simple )?[\"']?yes[\"']? or [\"']?no[\"']?(?: answer)?"
-AFFIRM = "|".join([rf"{_L}yes{_R}", "is indeed", "is listed", "is one of the", "is (?:a )?contracted supplier", "confirmed (?:as|to be)", rf"{_L}correct{_R}"])
-NEGATE = "|".join([rf"{_L}no{_R}", "not a contracted", "not contracted", "is not", "isn'?t", "does not", "does n'?t", "no supply contract", "not among", "not on the", "only via", "only through"])
+AFFIRM = r"(?:^|[^\p{L}\p{N}_])yes(?:[^\p{L}\p{N}_]|$)|is indeed|is listed|is one of the|is (?:a )?contracted supplier|confirmed (?:as|to be)|(?:^|[^\p{L}\p{N}_])correct(?:[^\p{L}\p{N}_]|$)"
+NEGATE = r"(?:^|[^\p{L}\p{N}_])no(?:[^\p{L}\p{N}_]|$)|not a contracted|not contracted|is not|isn'?t|does not|does n'?t|no supply contract|not among|not on the|only via|only through"
 
 # Paths of the router, in the order that ties go.
 TIE_ORDER = ["Hybrid", "DB", "Doc", "LLM"]
@@ -75,19 +76,26 @@ def accuracy(results: DataFrame, kind: str = "type") -> DataFrame:
 def latency(results: DataFrame, seconds: str, by: str | None = None) -> DataFrame:
     """Mean, median, p95 and total of a duration; p95 is the sorted value at max(0, floor(0.95 n) - 1).
 
-    The value is found by rank over the distinct values and their counts, so no group is gathered.
+    A value is found by its rank over the distinct values and their counts. These are sorted into
+    ranges over all tasks; the counts of whole ranges give where a range begins, so no group is
+    summed up in one task. Null durations are left out; an empty table gives no rows.
     """
-    group = [by] if by else []
-    rows = results.filter(F.col(seconds).isNotNull())
-    counts = rows.groupBy(*group, seconds).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(*[F.col(g) for g in group] or [F.lit(1)]).orderBy(seconds)
-    total = Window.partitionBy(*[F.col(g) for g in group] or [F.lit(1)])
-    ranked = counts.withColumn("_to", F.sum("n").over(upto)).withColumn("_all", F.sum("n").over(total))
+    rows = results.select((F.col(by) if by else F.lit(1)).alias("_by"), F.col(seconds).alias("_v")).filter("_v is not null")
+    counts = rows.groupBy("_by", "_v").agg(F.count("*").alias("_n"))
+    ranged = cut(counts.repartitionByRange(shuffle_partitions(results.sparkSession), "_by", "_v").withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_by", "_part").agg(F.sum("_n").alias("_in"))  # one row per range and group that it holds
+    earlier = Window.partitionBy("_by").orderBy("_part")
+    parts = parts.select("_by", "_part", (F.sum("_in").over(earlier) - F.col("_in")).alias("_before"), F.sum("_in").over(Window.partitionBy("_by")).alias("_all"))
+    inside = Window.partitionBy("_by", "_part").orderBy("_v")
+    # null groups meet too, so the join is null-safe; the side is one row per range and group
+    p = parts.withColumnsRenamed({"_by": "_b", "_part": "_p"})
+    ranked = ranged.withColumn("_upto", F.sum("_n").over(inside)).join(p, F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p"))).withColumn("_to", F.col("_upto") + F.col("_before"))
     at = F.greatest(F.lit(0), F.floor(F.col("_all") * 0.95).cast("bigint") - 1)
     low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
-    holds = lambda i: (F.col("_to") > i) & (F.col("_to") - F.col("n") <= i)
-    value = F.col(seconds)
-    return ranked.groupBy(*group).agg(F.sum("n").alias("n"), F.round(F.sum(value * F.col("n")) / F.sum("n"), 3).alias("mean"), F.round((F.max(F.when(holds(low), value)) + F.max(F.when(holds(high), value))) / 2, 3).alias("median"), F.round(F.max(F.when(holds(at), value)), 2).alias("p95"), F.round(F.sum(value * F.col("n")), 1).alias("total"))
+    holds = lambda i: (F.col("_to") > i) & (F.col("_to") - F.col("_n") <= i)
+    value = F.col("_v")
+    out = ranked.groupBy("_by").agg(F.sum("_n").alias("n"), F.round(F.sum(value * F.col("_n")) / F.sum("_n"), 3).alias("mean"), F.round((F.max(F.when(holds(low), value)) + F.max(F.when(holds(high), value))) / 2, 3).alias("median"), F.round(F.max(F.when(holds(at), value)), 2).alias("p95"), F.round(F.sum(value * F.col("_n")), 1).alias("total"))
+    return out.withColumnRenamed("_by", by) if by else out.drop("_by")
 
 
 def run_summary(results: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Rows are packed into blocks of vectors; a block of queries meets a block of rows in one matrix
 product that returns the best rows only. Vectors are normalised in double precision; a zero
-vector stays zero. Null vectors, and vectors of another length than the first of their block, are
-left out.
+vector stays zero. Vectors of different lengths stand in different blocks and never meet. Null and
+empty vectors are left out. Keys may be of any type.
 """
 
 from __future__ import annotations
@@ -35,50 +35,60 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the batch that are usable, as a normalised matrix, and their places."""
-    lengths = np.diff(vectors.offsets.to_numpy())
-    ok = np.flatnonzero(np.array([v.is_valid for v in vectors]) & (lengths > 0)) if vectors.null_count else np.flatnonzero(lengths > 0)
-    if not len(ok):
-        return np.empty((0, 0)), ok
-    ok = ok[lengths[ok] == lengths[ok[0]]]
-    m = np.vstack([np.asarray(vectors[int(i)].values, np.float64) for i in ok]) if vectors.null_count or len(ok) < len(vectors) else np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norm == 0, 1.0, norm), ok
+def _matrices(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The vectors of the batch as normalised matrices, one per length, with their places."""
+    valid = vectors.is_valid().to_numpy(zero_copy_only=False)
+    lengths = np.where(valid, np.diff(vectors.offsets.to_numpy()), 0)
+    for dim in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == dim)
+        m = np.asarray(vectors.take(pa.array(at)).flatten(), np.float64).reshape(len(at), dim)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        yield m / np.where(norm == 0, 1.0, norm), at
+
+
+def _ids(c: pa.Array) -> np.ndarray:
+    return c.to_numpy(zero_copy_only=False)
 
 
 def pack(df: DataFrame, key: str, vector: str, group: str | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(grp, block, ids, dim, data): up to ``rows`` vectors per block, without a shuffle; with ``group`` sorted by it first."""
+    """(grp, block, ids, dim, data): up to ``rows`` vectors of one length per block, without a shuffle; with ``group`` sorted by it first."""
+    kind = df.schema[key].dataType
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[object, list] = {}
+        held: dict[tuple[object, int], list] = {}
 
-        def emit(g: object) -> pa.RecordBatch:
-            ids, mats = zip(*held.pop(g))
-            m = np.vstack(mats)
-            return pa.RecordBatch.from_arrays([pa.array([g], pa.string()), pa.array([[i for part in ids for i in part]], pa.list_(pa.int64())), pa.array([m.shape[1]], pa.int32()), pa.array([m.ravel()], pa.list_(pa.float64()))], ["grp", "ids", "dim", "data"])
+        def emit(k: tuple[object, int]) -> pa.RecordBatch:
+            ids, mats = zip(*held.pop(k))
+            every = pa.concat_arrays(ids)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every)
+            return pa.RecordBatch.from_arrays([pa.array([k[0]], pa.string()), listed, pa.array([k[1]], pa.int32()), pa.array([np.vstack(mats).ravel()], pa.list_(pa.float64()))], ["grp", "ids", "dim", "data"])
 
         for batch in batches:
-            m, ok = _matrix(batch.column(1))
-            if not len(ok):
-                continue
-            ids, groups = np.asarray(batch.column(0))[ok], np.asarray(batch.column(2).to_pylist(), object)[ok]
-            for g in dict.fromkeys(groups.tolist()):
-                mine = groups == g
-                for lo in range(0, int(mine.sum()), rows):
-                    held.setdefault(g, []).append((ids[mine][lo : lo + rows], m[mine][lo : lo + rows]))
-                    if sum(len(i) for i, _ in held[g]) >= rows:
-                        yield emit(g)
-        for g in list(held):
-            yield emit(g)
-
-    source = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(group).cast("string") if group else F.lit("")).alias("g")).filter("id is not null and v is not null")
+            groups = np.asarray(batch.column(2).to_pylist(), object)
+            for m, at in _matrices(batch.column(1)):
+                mine = groups[at]
+                for g in dict.fromkeys(mine.tolist()):
+                    pick = np.flatnonzero(mine == g)
+                    k = g, m.shape[1]
+                    for lo in range(0, len(pick), rows):
+                        part = pick[lo : lo + rows]
+                        held.setdefault(k, []).append((batch.column(0).take(pa.array(at[part])), m[part]))
+                        if sum(len(i) for i, _ in held[k]) >= rows:
+                            yield emit(k)
+        for k in list(held):
+            yield emit(k)
+
+    source = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(group).cast("string") if group else F.lit("")).alias("g")).filter("id is not null and v is not null")
     if group:
-        source = source.repartition("g", F.pmod("id", F.lit(16))).sortWithinPartitions("g")
-    packed = source.mapInArrow(blocks, "grp string, ids array<bigint>, dim int, data array<double>")
+        source = source.repartition("g", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("g")
+    packed = source.mapInArrow(blocks, f"grp string, ids array<{kind.simpleString()}>, dim int, data array<double>")
     return packed.withColumn("block", F.monotonically_increasing_id())
 
 
+def _id_type(df: DataFrame, key: str) -> str:
+    return df.schema[key].dataType.simpleString()
+
+
 def _best(k: int, exclude_self: bool, places: int):
     slack = 2 * 10.0**-places
 
@@ -89,7 +99,8 @@ def _best(k: int, exclude_self: bool, places: int):
                 if dim != batch.column("dim")[r].as_py():
                     continue
                 q, d = (np.asarray(batch.column(c)[r].values).reshape(-1, dim) for c in ("q_data", "data"))
-                qi, di = (np.asarray(batch.column(c)[r].values) for c in ("q_ids", "ids"))
+                qk, dk = (batch.column(c)[r].values for c in ("q_ids", "ids"))
+                qi, di = _ids(qk), _ids(dk)
                 for lo in range(0, len(qi), 512):
                     s = q[lo : lo + 512] @ d.T
                     if exclude_self:
@@ -98,7 +109,7 @@ def _best(k: int, exclude_self: bool, places: int):
                     i, j = np.nonzero((s >= edge[:, None] - slack) & np.isfinite(s))  # whatever may tie with the last one once rounded
                     for at in range(0, len(i), EMIT_ROWS):
                         x, y = i[at : at + EMIT_ROWS], j[at : at + EMIT_ROWS]
-                        yield pa.RecordBatch.from_arrays([pa.array(qi[lo + x]), pa.array(di[y]), pa.array(s[x, y])], ["query_id", "id", "sim"])
+                        yield pa.RecordBatch.from_arrays([qk.take(pa.array(lo + x)), dk.take(pa.array(y)), pa.array(s[x, y])], ["query_id", "id", "sim"])
 
     return score
 
@@ -111,11 +122,12 @@ def _rank(pairs: DataFrame, k: int, places: int) -> DataFrame:
 def knn(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 6, exclude_self: bool = False, places: int = 9) -> DataFrame:
     """(query_id, id, sim, rank): the exact ``k`` rows of greatest cosine per query; ties by id.
 
-    Similarities are rounded to ``places`` before ranking. Queries and rows meet block by block.
+    Similarities are rounded to ``places`` before ranking. Queries and rows meet block by block;
+    rows whose vector has another length than the query's are no neighbours of it.
     """
     q = pack(queries, key, vector).select(F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data"))
     d = pack(rows, key, vector).select("ids", "dim", "data")
-    pairs = q.crossJoin(d).mapInArrow(_best(k, exclude_self, places), "query_id bigint, id bigint, sim double")  # a query set against all rows, in blocks
+    pairs = q.crossJoin(d).mapInArrow(_best(k, exclude_self, places), f"query_id {_id_type(queries, key)}, id {_id_type(rows, key)}, sim double")  # a query set against all rows, in blocks
     return _rank(pairs, k, places)
 
 
@@ -129,6 +141,10 @@ def gated(nearest: DataFrame, k: int = 5, tau: float = 0.5, margin: float = 0.05
 # ---------------------------------------------------------------- inverted-file index
 
 
+#: Begins the name of the cell of all vectors whose length isn't that of the centroids.
+OTHER = "d"
+
+
 def _reach(centroids: np.ndarray):
     """The greatest angle between a cell's centroid and the rows of a block; all of the sphere for a centroid that is no unit vector."""
 
@@ -136,8 +152,10 @@ def _reach(centroids: np.ndarray):
         for batch in batches:
             for r in range(batch.num_rows):
                 cell, dim = batch.column("grp")[r].as_py(), batch.column("dim")[r].as_py()
+                if cell.startswith(OTHER):
+                    continue
                 c = centroids[int(cell)]
-                whole = abs(np.linalg.norm(c) - 1) > 1e-6 or dim != len(c)
+                whole = abs(np.linalg.norm(c) - 1) > 1e-6
                 m = np.asarray(batch.column("data")[r].values).reshape(-1, dim)
                 yield pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([np.pi if whole else float(np.arccos(np.clip(m @ c, -1, 1)).max()) + 1e-7])], ["grp", "reach"])
 
@@ -154,9 +172,11 @@ class InvertedFile:
     """
 
     def __init__(self, rows: DataFrame, key: str, vector: str, cells: int = 64, sample: int = 20_000, rounds: int = 10):
-        self.key, self.vector = key, vector
+        self.key, self.vector, self.id_type = key, vector, _id_type(rows, key)
         picked = rows.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(key)).limit(sample).select(vector).collect()
-        m = np.array([r[0] for r in picked], np.float64).reshape(len(picked), -1)
+        lengths = [len(r[0]) for r in picked]
+        usual = max(sorted(set(lengths)), key=lengths.count, default=0)  # centroids have the length that most vectors of the sample have
+        m = np.array([r[0] for r in picked if len(r[0]) == usual], np.float64).reshape(-1, usual)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         self.centroids = m[:: max(1, len(m) // max(1, min(cells, len(m))))][:cells].copy()
         for _ in range(rounds):
@@ -175,14 +195,16 @@ class InvertedFile:
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                m, ok = _matrix(batch.column(1))
-                if len(ok):
-                    n = min(probes, len(centroids))
-                    cells = np.argsort(-(m @ centroids.T), axis=1, kind="stable")[:, :n]
+                for m, ok in _matrices(batch.column(1)):
+                    if m.shape[1] == centroids.shape[1]:
+                        n = min(probes, len(centroids))
+                        names = np.argsort(-(m @ centroids.T), axis=1, kind="stable")[:, :n].ravel().astype(str).tolist()
+                    else:
+                        n, names = 1, [f"{OTHER}{m.shape[1]}"] * len(ok)
                     at = pa.array(np.repeat(ok, n))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cells.ravel().astype(str).tolist(), pa.string())], [key, vector, "cell"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(names, pa.string())], [key, vector, "cell"])
 
-        return df.select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull()).mapInArrow(assign, f"{key} bigint, {vector} array<double>, cell string")
+        return df.select(key, F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull()).mapInArrow(assign, f"{key} {_id_type(df, key)}, {vector} array<double>, cell string")
 
     def _open(self, df: DataFrame, probes: int, places: int) -> DataFrame:
         """The queries (with ``_last``, the last similarity found) once per cell beyond the probes that can hold a row as near."""
@@ -190,8 +212,9 @@ class InvertedFile:
 
         def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                m, ok = _matrix(batch.column(1))
-                if len(ok):
+                for m, ok in _matrices(batch.column(1)):
+                    if m.shape[1] != centroids.shape[1]:
+                        continue  # one cell holds all of them, and it was searched
                     dots = m @ centroids.T
                     most = np.cos(np.maximum(0.0, np.arccos(np.clip(dots, -1, 1)) - reach))
                     rest = (reach >= 0) & (most >= np.asarray(batch.column(2))[ok, None] - slack)
@@ -200,11 +223,11 @@ class InvertedFile:
                     at = pa.array(ok[i])
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(c.astype(str).tolist(), pa.string())], [key, vector, "cell"])
 
-        return df.select(F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias(vector), "_last").filter(F.col(vector).isNotNull()).mapInArrow(cells, f"{key} bigint, {vector} array<double>, cell string")
+        return df.select(key, F.col(vector).cast("array<double>").alias(vector), "_last").filter(F.col(vector).isNotNull()).mapInArrow(cells, f"{key} {_id_type(df, key)}, {vector} array<double>, cell string")
 
     def _meet(self, cells: DataFrame, k: int, exclude_self: bool, places: int) -> DataFrame:
         q = pack(cells, self.key, self.vector, "cell").select("grp", F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data"))
-        return self.blocks.join(q, "grp").select("q_ids", "q_dim", "q_data", "ids", "dim", "data").mapInArrow(_best(k, exclude_self, places), "query_id bigint, id bigint, sim double")
+        return self.blocks.join(q, "grp").select("q_ids", "q_dim", "q_data", "ids", "dim", "data").mapInArrow(_best(k, exclude_self, places), f"query_id {_id_type(cells, self.key)}, id {self.id_type}, sim double")
 
     def search(self, queries: DataFrame, k: int = 6, probes: int = 8, exclude_self: bool = False, places: int = 9) -> DataFrame:
         first = cut(_rank(self._meet(self._cells(queries, probes), k, exclude_self, places), k, places))
@@ -227,28 +250,32 @@ def similar_pairs(df: DataFrame, key: str, vector: str, tau: float, group: str |
                 if dim != batch.column("q_dim")[r].as_py():
                     continue
                 x, y = (np.asarray(batch.column(c)[r].values).reshape(-1, dim) for c in ("q_data", "data"))
-                xi, yi = (np.asarray(batch.column(c)[r].values) for c in ("q_ids", "ids"))
+                xi, yi = (_ids(batch.column(c)[r].values) for c in ("q_ids", "ids"))
                 for lo in range(0, len(xi), 512):
                     i, j = np.nonzero(x[lo : lo + 512] @ y.T >= tau)
                     a, b = xi[lo + i], yi[j]
                     ok = a != b
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"])
+                    if not ok.any():
+                        continue
+                    a, b, first = a[ok], b[ok], a[ok] < b[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(first, a, b)), pa.array(np.where(first, b, a))], ["a", "b"])
 
     blocks = cut(pack(df, key, vector, group))
     left = blocks.select("grp", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data"))
     met = left.join(blocks, "grp").filter("q_block <= block").select("q_ids", "q_dim", "q_data", "ids", "dim", "data")
-    return met.mapInArrow(pairs, "a bigint, b bigint").distinct()
+    kind = _id_type(df, key)
+    return met.mapInArrow(pairs, f"a {kind}, b {kind}").distinct()
 
 
-def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, component): the least id that is reachable; nodes without pairs are their own.
 
     Every round hands the least label to the neighbours and then follows labels to theirs, so the
-    distance covered doubles. Each round is checkpointed; hub nodes are spread.
+    distance covered doubles, until no label changes. Each round is checkpointed; hub nodes are spread.
     """
     both = cut(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"))))
     labels = cut(nodes.select(F.col("id"), F.col("id").alias("component")).distinct())
-    for _ in range(max_rounds):
+    while True:
         offered = salted_join(both, labels.select(F.col("id").alias("src"), "component"), ["src"], F.col("dst"), how="inner").select(F.col("dst").alias("id"), "component")
         least = labels.unionByName(offered).groupBy("id").agg(F.min("component").alias("component"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("_next"))
@@ -256,7 +283,6 @@ def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 64) -> Data
         if stepped.join(labels.withColumnRenamed("component", "_old"), "id").filter("component <> _old").isEmpty():
             return stepped
         labels = stepped
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
 def canonical_members(members: DataFrame) -> DataFrame:
