@@ -52,7 +52,7 @@ def test_flagship(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["p2_found", "p3_found", "p5_found", "graph_fk_edges", "path_optional", "path_untyped", "triples_gated", "confidence_scores", "upsert_corroboration", "ppr_scores", "knn_exact", "cluster_components", "accuracy_by_type"])
+@pytest.mark.parametrize("name", ["p2_found", "p3_found", "p5_found", "graph_fk_edges", "path_optional", "path_untyped", "triples_gated", "confidence_scores", "upsert_corroboration", "ppr_passages", "knn_exact", "cluster_components", "accuracy_by_type"])
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     import __spark_entry__ as entry
@@ -94,30 +94,29 @@ def test_full_walks_equal_dense_iteration(spark):
     n, e = Q._fused(spark, DATA)
     nodes, edges = {f"{r.label}:{r.id}" for r in n.collect()}, A.keyed_edges(e).select("s", "rel_type", "t").collect()
     want = _dense_walk(nodes, [(r.s, r.t) for r in edges], Q.SEEDS, 30)
-    got = {(r.question_id, r.node): r.score for r in Q.ppr_scores_full(spark, DATA).collect()}
+    got = {(r.question_id, r.node): r.score for r in Q.ppr_scores(spark, DATA).collect()}
     assert got == pytest.approx(want, abs=2e-9)
     top = {q: sorted(((round(v, 10), n) for (k, n), v in want.items() if k == q and not n.startswith("Document:")), reverse=True)[:15] for q in (1, 2)}
-    assert sorted((r.question_id, r["rank"], r.node) for r in Q.ppr_top_entities_full(spark, DATA).collect()) == [(q, i + 1, n) for q in (1, 2) for i, (_, n) in enumerate(top[q])]
+    assert sorted((r.question_id, r["rank"], r.node) for r in Q.ppr_top_entities(spark, DATA).collect()) == [(q, i + 1, n) for q in (1, 2) for i, (_, n) in enumerate(top[q])]
     chosen = {(q, n) for q in (1, 2) for _, n in top[q]}
-    assert sorted(map(tuple, Q.induced_edges_full(spark, DATA).collect())) == sorted((q, r.s, r.rel_type, r.t) for q in (1, 2) for r in edges if {(q, r.s), (q, r.t)} <= chosen)
+    assert sorted(map(tuple, Q.induced_edges(spark, DATA).collect())) == sorted((q, r.s, r.rel_type, r.t) for q in (1, 2) for r in edges if {(q, r.s), (q, r.t)} <= chosen)
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["chunk_members_full", "one_hop_ranked_full", "entity_expand_full", "chunk_overlap_full"])
+@pytest.mark.parametrize("name", ["chunk_members", "one_hop_ranked", "entity_expand", "chunk_overlap"])
 def test_fused_query_equals_sql(spark, name):
     test_query_equals_sql(spark, name)
 
 
 @needs_data
-def test_full_queries_hold_what_only_texts_say(spark):
+def test_members_hold_what_only_texts_say(spark):
     from weftgraph.plans import retrieval_queries as Q
 
     edges = Q._fused(spark, DATA)[1].filter("origin = 'extracted'")
     chunk = edges.selectExpr("source_chunk_id as chunk_id", "concat(src_label, ':', src) as node")
     known = spark.read.parquet(f"{DATA}/chunks.parquet").select("chunk_id").distinct()
     wanted = chunk.join(known, "chunk_id").distinct()
-    assert wanted.count() > 0 and wanted.join(Q.chunk_members_full(spark, DATA), ["chunk_id", "node"], "left_anti").isEmpty()
-    assert not wanted.join(Q.chunk_members(spark, DATA), ["chunk_id", "node"], "left_anti").isEmpty()
+    assert wanted.count() > 0 and wanted.join(Q.chunk_members(spark, DATA), ["chunk_id", "node"], "left_anti").isEmpty()
 
 
 @needs_data

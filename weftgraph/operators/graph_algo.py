@@ -7,12 +7,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from weftgraph.functions.keys import real_key
 from weftgraph.operators.catalog import id_tokens
 from weftgraph.operators.skew import hot_frame, hot_keys, salted_join
-from weftgraph.runtime import cut
+from weftgraph.runtime import cut, shuffle_partitions
 
+#: Parts that the edges of a hub are spread over.
+SPREAD = 32
+#: Iterations in one plan, after which the ranks are written.
+PLAN_ROUNDS = 3
 #: Scores are rounded to so many places before they are ranked, so that the order of summation doesn't matter.
 PLACES = 10
 
@@ -52,26 +57,42 @@ def pagerank(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, alpha: float
     ``seeds``: (``question``, node); seeds that are no node are left out and repeated ones count
     once. A question without a valid seed has no rows. Teleport is uniform over the seeds, the walk
     starts there, and what reaches a node without edges goes back to the seeds; the scores of a
-    question sum to one. Rows hold nodes with a score above zero only. Each iteration is
-    checkpointed; the edges of hubs are spread over tasks.
+    question sum to one. Rows hold nodes with a score above zero only.
+
+    Edges are partitioned by node once and stay on the executors' disks over all iterations; an iteration
+    moves ranks only. Those of hubs are spread over tasks. A lost executor costs a partition
+    read from the checkpoint again.
     """
     known = nodes.select(node_of("label", "id").alias("node")).distinct()
     valid = seeds.select(question, "node").distinct().join(known, "node", "left_semi")
     teleport = cut(valid.withColumn("w", F.lit(1.0) / F.count("*").over(Window.partitionBy(question))))
-    adj = adjacency(edges)
+    adj = cut(adjacency(edges))
     degree = adj.groupBy("node").agg(F.count("*").alias("deg"))
     alone = cut(teleport.join(degree, "node", "left_anti").select(question, "node"))  # only seeds can be nodes without edges that hold a score
-    hubs = hot_frame(adj, ["node"], hot_keys(adj, ["node"]))
-    spread = 32
-    steps = cut(salted_join(adj, degree, ["node"], F.col("other"), how="inner").join(hubs, "node", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("other"), F.lit(spread))).otherwise(0).cast("int")).drop("_hot"))
-    rank = teleport.select(question, "node", F.col("w").alias("score"))
-    for _ in range(iterations):
-        salted = rank.join(hubs, "node", "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-        moved = salted.join(steps, ["node", "_salt"]).select(question, F.col("other").alias("node"), ((1 - alpha) * F.col("score") / F.col("deg")).alias("score"))
-        lost = rank.join(alone, [question, "node"], "left_semi").groupBy(question).agg(F.sum("score").alias("lost"))
-        back = teleport.join(lost, question, "left").select(question, "node", (alpha * F.col("w") + (1 - alpha) * F.coalesce("lost", F.lit(0.0)) * F.col("w")).alias("score"))
-        rank = cut(moved.unionByName(back).groupBy(question, "node").agg(F.sum("score").alias("score")).filter("score > 0"))
-    return rank
+    leaks = not alone.isEmpty()
+    hot = hot_keys(adj, ["node"])
+    key = ["node", "_salt"] if hot else ["node"]
+    steps = salted_join(adj, degree, ["node"], F.col("other"), how="inner")
+    if hot:
+        hubs = hot_frame(adj, ["node"], hot)
+        steps = steps.join(hubs, "node", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("other"), F.lit(SPREAD))).otherwise(0).cast("int")).drop("_hot")
+        copies = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
+    placed = cut(steps).repartition(shuffle_partitions(edges.sparkSession), *key).persist(StorageLevel.DISK_ONLY)
+    try:
+        rank = teleport.select(question, "node", F.col("w").alias("score"))
+        for n in range(1, iterations + 1):
+            spread = rank.join(hubs, "node", "left").withColumn("_salt", copies).drop("_hot") if hot else rank
+            moved = spread.join(placed, key).select(question, F.col("other").alias("node"), ((1 - alpha) * F.col("score") / F.col("deg")).alias("score"))
+            back = teleport.select(question, "node", (alpha * F.col("w")).alias("score"))
+            if leaks:
+                lost = rank.join(alone, [question, "node"], "left_semi").groupBy(question).agg(F.sum("score").alias("lost"))
+                back = teleport.join(lost, question, "left").select(question, "node", (alpha * F.col("w") + (1 - alpha) * F.coalesce("lost", F.lit(0.0)) * F.col("w")).alias("score"))
+            rank = moved.unionByName(back).groupBy(question, "node").agg(F.sum("score").alias("score")).filter("score > 0")
+            if leaks or n % PLAN_ROUNDS == 0 or n == iterations:  # with lost scores a plan reads the one before twice
+                rank = cut(rank)
+        return rank
+    finally:
+        placed.unpersist()
 
 
 def _top(df: DataFrame, question: str, score: str, tie: str, k: int) -> DataFrame:

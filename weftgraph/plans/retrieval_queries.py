@@ -27,20 +27,15 @@ def query(sql: str | None = None):
 
 # ---------------------------------------------------------------- PageRank and neighbourhoods
 
-#: Seeds of two example questions, and the iterations that the SQL of the short walks spells out; the queries ``*_full`` walk to the operator's 30.
+#: Seeds of two example questions, and the iterations of the walk, those of the operator.
 SEEDS = [(1, "Supplier:SUP00001"), (1, "Line:L003"), (2, "Region:R002"), (2, "Customer:C000000001"), (2, "Customer:C999999999")]
-ITERATIONS = 3
+ITERATIONS = 30
 
 
 def _seeds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(q, n, i) for i, (q, n) in enumerate(SEEDS)], "question_id int, node string, ord int")
 
 
-def _structured(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    graph = graph_build.supply_chain(spark, folder)
-    return cut(graph.all_nodes().select("label", "id")), cut(graph.all_edges())
-
-
 def _fused(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The graph of tables and texts: edges after the upsert of the promoted triples, and the entities that only triples name as nodes too."""
     nodes = graph_build.supply_chain(spark, folder).all_nodes().select("label", "id")
@@ -52,16 +47,18 @@ def _ranks(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame
 
 
 _SEED_VALUES = S.values([(q, n, i) for i, (q, n) in enumerate(SEEDS)])
+_FUSED = f"""{S.UPSERTED}, all_nodes as materialized (select label, id from nodes union all select case substr(id, 1, 2) when 'AE' then 'AnomalyEvent' when 'DT' then 'DowntimeEvent' else 'Equipment' end, id from mentioned),
+e as materialized (select *, src_label || ':' || src as s, dst_label || ':' || dst as t from merged), seeds as (select * from (values {_SEED_VALUES}) v(question_id, node, ord))"""
 
 
 def _ppr_sql() -> str:
-    steps = [f"""{S.GRAPH}, e as (select *, src_label || ':' || src as s, dst_label || ':' || dst as t from edges), adj as (select s as node, t as other from e union all select t, s from e), deg as (select node, count(*) as deg from adj group by 1),
-seeds as (select * from (values {_SEED_VALUES}) v(question_id, node, ord)), valid as (select distinct question_id, node from seeds where node in (select label || ':' || id from nodes)), tele as (select question_id, node, 1.0::double / count(*) over (partition by question_id) as w from valid), p0 as (select question_id, node, w as score from tele)"""]
+    steps = [f"""{_FUSED}, adj as materialized (select s as node, t as other from e union all select t, s from e), deg as materialized (select node, count(*) as deg from adj group by 1),
+valid as (select distinct question_id, node from seeds where node in (select label || ':' || id from all_nodes)), tele as materialized (select question_id, node, 1.0::double / count(*) over (partition by question_id) as w from valid), p0 as (select question_id, node, w as score from tele)"""]
     for i in range(ITERATIONS):
         steps.append(f"""p{i + 1} as materialized (select question_id, node, sum(score) as score from (
   select p.question_id, a.other as node, (1 - 0.15::double) * p.score / d.deg as score from p{i} p join adj a using (node) join deg d using (node)
   union all select question_id, node, 0.15::double * w + (1 - 0.15::double) * w * coalesce((select sum(score) from p{i} l where l.question_id = tele.question_id and l.node not in (select node from deg)), 0) from tele) group by all)""")
-    return ", ".join(steps) + f", ranks as (select * from p{ITERATIONS} where score > 0)"
+    return ", ".join(steps) + f", ranks as materialized (select * from p{ITERATIONS} where score > 0)"
 
 
 _PPR = _ppr_sql()
@@ -69,79 +66,49 @@ _PPR = _ppr_sql()
 
 @query(f"with {_PPR} select question_id, node, round(score, 9) as score from ranks")
 def ppr_scores(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, edges = _structured(spark, folder)
+    """The whole walk over the fused graph."""
+    nodes, edges = _fused(spark, folder)
     return _ranks(spark, nodes, edges).withColumn("score", F.round("score", 9))
 
 
-_MEMBERS = f"""texts as (select distinct chunk_id, {S.real('doc_id')} as doc, text from chunks where chunk_id is not null),
-dc as (select chunk_id, doc from texts where doc in (select id from nodes where label = 'Document')),
-members as (select chunk_id, 'Document:' || doc as node from dc union select chunk_id, t from dc join (select src, dst_label || ':' || dst as t from edges where origin = 'document_link') on src = doc union select chunk_id, n.label || ':' || n.id from (select distinct chunk_id, unnest(regexp_extract_all(text, '[A-Za-z]{{2,6}}[0-9]{{2,}}')) as tok from texts) join nodes n on n.id = tok)"""
+_MEMBERS = f"""texts as materialized (select distinct chunk_id, {S.real('doc_id')} as doc, text from chunks where chunk_id is not null),
+dc as (select chunk_id, doc from texts where doc in (select id from all_nodes where label = 'Document')),
+members as materialized (select chunk_id, unnest([s, t]) as node from e join (select distinct chunk_id from texts) on source_chunk_id = chunk_id where origin = 'extracted' union select chunk_id, 'Document:' || doc from dc union select chunk_id, t from dc join (select src, t from e where origin = 'document_link') on src = doc union select chunk_id, n.label || ':' || n.id from (select distinct chunk_id, unnest(regexp_extract_all(text, '[A-Za-z]{{2,6}}[0-9]{{2,}}')) as tok from texts) join all_nodes n on n.id = tok)"""
 
 
-@query(f"with {S.GRAPH}, {_MEMBERS} select chunk_id, node from members")
+@query(f"with {_FUSED}, {_MEMBERS} select chunk_id, node from members")
 def chunk_members(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, edges = _structured(spark, folder)
+    nodes, edges = _fused(spark, folder)
     return graph_algo.chunk_members(table(spark, folder, "chunks"), edges, nodes)
 
 
 @query(f"with {_PPR}, {_MEMBERS}, sc as (select question_id, chunk_id, sum(score) as score from members join ranks using (node) group by all), rk as (select *, row_number() over (partition by question_id order by round(score, 10) desc, chunk_id desc) as rank from sc where score > 0) select question_id, chunk_id, round(score, 9) as score, cast(rank as integer) as rank from rk where rank <= 12")
 def ppr_passages(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, edges = _structured(spark, folder)
+    nodes, edges = _fused(spark, folder)
     members = graph_algo.chunk_members(table(spark, folder, "chunks"), edges, nodes)
     return graph_algo.rank_passages(_ranks(spark, nodes, edges), members).withColumn("score", F.round("score", 9))
 
 
-_TOP = "top_ as (select * from (select *, row_number() over (partition by question_id order by round(score, 10) desc, node desc) as rank from ranks where not starts_with(node, 'Document:')) where rank <= 15)"
+_TOP = "top_ as materialized (select * from (select *, row_number() over (partition by question_id order by round(score, 10) desc, node desc) as rank from ranks where not starts_with(node, 'Document:')) where rank <= 15)"
 
 
 @query(f"with {_PPR}, {_TOP} select question_id, node, round(score, 9) as score, cast(rank as integer) as rank from top_")
 def ppr_top_entities(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, edges = _structured(spark, folder)
+    nodes, edges = _fused(spark, folder)
     return graph_algo.rank_entities(_ranks(spark, nodes, edges)).withColumn("score", F.round("score", 9))
 
 
 @query(f"with {_PPR}, {_TOP} select a.question_id, e.s, e.rel_type, e.t from e join top_ a on a.node = e.s join top_ b on b.node = e.t and b.question_id = a.question_id")
 def induced_edges(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, edges = _structured(spark, folder)
-    top = cut(graph_algo.rank_entities(_ranks(spark, nodes, edges)))
-    return graph_algo.induced_edges(edges, top).select("question_id", "s", "rel_type", "t")
-
-
-def _full_ranks(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return graph_algo.pagerank(edges, _seeds(spark), nodes)
-
-
-@query()
-def ppr_scores_full(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole walk of 30 iterations over the fused graph; tests compare it with the dense iteration."""
-    nodes, edges = _fused(spark, folder)
-    return _full_ranks(spark, nodes, edges).withColumn("score", F.round("score", 9))
-
-
-@query()
-def ppr_passages_full(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, edges = _fused(spark, folder)
-    members = graph_algo.chunk_members(table(spark, folder, "chunks"), edges, nodes)
-    return graph_algo.rank_passages(_full_ranks(spark, nodes, edges), members).withColumn("score", F.round("score", 9))
-
-
-@query()
-def ppr_top_entities_full(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, edges = _fused(spark, folder)
-    return graph_algo.rank_entities(_full_ranks(spark, nodes, edges)).withColumn("score", F.round("score", 9))
-
-
-@query()
-def induced_edges_full(spark: SparkSession, folder: str) -> DataFrame:
     nodes, edges = _fused(spark, folder)
-    top = cut(graph_algo.rank_entities(_full_ranks(spark, nodes, edges)))
+    top = cut(graph_algo.rank_entities(_ranks(spark, nodes, edges)))
     return graph_algo.induced_edges(edges, top).select("question_id", "s", "rel_type", "t")
 
 
 HIGH_TYPES = ["FOR_CUSTOMER", "SUPPLIED_BY"]
-_HOP = f"""{S.GRAPH}, e as (select *, src_label || ':' || src as s, dst_label || ':' || dst as t from edges), seeds as (select * from (values {_SEED_VALUES}) v(question_id, node, ord)),
-near as (select distinct question_id, s, rel_type, t, origin, confidence from e join seeds on node = s or node = t),
-hop as (select * from (select *, case when rel_type in ('FOR_CUSTOMER', 'SUPPLIED_BY') then 2.0 else 0.0 end + case when origin in ('structured', 'document_link') then 1.0 else coalesce(confidence, 0) end as score, row_number() over (partition by question_id order by round(case when rel_type in ('FOR_CUSTOMER', 'SUPPLIED_BY') then 2.0 else 0.0 end + case when origin in ('structured', 'document_link') then 1.0 else coalesce(confidence, 0) end, 10) desc, s, rel_type, t) as rank from near) where rank <= 30)"""
+_HOP = f"""{_FUSED}, near as (select distinct question_id, s, rel_type, t, origin, confidence, source_chunk_id from e join seeds on node = s or node = t),
+pointed as (select *, case when rel_type in ('FOR_CUSTOMER', 'SUPPLIED_BY') then 2.0 else 0.0 end + case when origin in ('structured', 'document_link') then 1.0 else coalesce(confidence, 0) end as score from near),
+hop as materialized (select * from (select *, row_number() over (partition by question_id order by round(score, 10) desc, s, rel_type, t) as rank from pointed) where rank <= 30)"""
 
 
 def _hop(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -150,61 +117,22 @@ def _hop(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 @query(f"with {_HOP} select question_id, s, rel_type, t, cast(score as double) as score, cast(rank as integer) as rank from hop")
 def one_hop_ranked(spark: SparkSession, folder: str) -> DataFrame:
-    _, edges = _structured(spark, folder)
+    _, edges = _fused(spark, folder)
     return _hop(spark, edges).select("question_id", "s", "rel_type", "t", "score", "rank")
 
 
 _ENT = f"""{_HOP}, ends as (select question_id, node, ord from seeds union all select question_id, s, rank * 2 + 1000000 from hop union all select question_id, t, rank * 2 + 1000001 from hop),
-ent as (select * from (select *, row_number() over (partition by question_id order by ord, node) as rank from (select question_id, node, min(ord) as ord from ends where not starts_with(node, 'Document:') group by all)) where rank <= 30)"""
+ent as materialized (select * from (select *, row_number() over (partition by question_id order by ord, node) as rank from (select question_id, node, min(ord) as ord from ends where not starts_with(node, 'Document:') group by all)) where rank <= 30)"""
 
 
 @query(f"with {_ENT} select question_id, node, cast(rank as integer) as rank from ent")
 def entity_expand(spark: SparkSession, folder: str) -> DataFrame:
-    _, edges = _structured(spark, folder)
-    return graph_algo.expand_entities(_seeds(spark), _hop(spark, edges)).select("question_id", "node", "rank")
-
-
-@query(f"with {_ENT}, {_MEMBERS}, sh as (select question_id, chunk_id, count(distinct node) as n_shared from members join ent using (node) group by all) select * from (select question_id, chunk_id, n_shared, cast(row_number() over (partition by question_id order by n_shared desc, chunk_id desc) as integer) as rank from sh) where rank <= 8")
-def chunk_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, edges = _structured(spark, folder)
-    ranked = _hop(spark, edges)
-    members = graph_algo.chunk_members(table(spark, folder, "chunks"), edges, nodes)
-    return graph_algo.overlap_chunks(members, graph_algo.expand_entities(_seeds(spark), ranked), ranked)
-
-
-# The same over the fused graph; the queries above keep to what tables and document links say.
-
-_FUSED = f"{S.UPSERTED}, all_nodes as (select label, id from nodes union all select case substr(id, 1, 2) when 'AE' then 'AnomalyEvent' when 'DT' then 'DowntimeEvent' else 'Equipment' end, id from mentioned), e as (select *, src_label || ':' || src as s, dst_label || ':' || dst as t from merged)"
-_FULL_MEMBERS = """texts as (select distinct chunk_id, nullif(upper(trim(doc_id, """ + S.BLANKS + """)), '') as doc, text from chunks where chunk_id is not null),
-dc as (select chunk_id, doc from texts where doc in (select id from all_nodes where label = 'Document')),
-members as (select chunk_id, unnest([s, t]) as node from e join (select distinct chunk_id from texts) on source_chunk_id = chunk_id where origin = 'extracted' union select chunk_id, 'Document:' || doc from dc union select chunk_id, t from dc join (select src, t from e where origin = 'document_link') on src = doc union select chunk_id, n.label || ':' || n.id from (select distinct chunk_id, unnest(regexp_extract_all(text, '[A-Za-z]{2,6}[0-9]{2,}')) as tok from texts) join all_nodes n on n.id = tok)"""
-_FULL_HOP = f"""{_FUSED}, seeds as (select * from (values {_SEED_VALUES}) v(question_id, node, ord)), near as (select distinct question_id, s, rel_type, t, origin, confidence, source_chunk_id from e join seeds on node = s or node = t),
-pointed as (select *, case when rel_type in ('FOR_CUSTOMER', 'SUPPLIED_BY') then 2.0 else 0.0 end + case when origin in ('structured', 'document_link') then 1.0 else coalesce(confidence, 0) end as score from near),
-hop as (select * from (select *, row_number() over (partition by question_id order by round(score, 10) desc, s, rel_type, t) as rank from pointed) where rank <= 30)"""
-_FULL_ENT = f"""{_FULL_HOP}, ends as (select question_id, node, ord from seeds union all select question_id, s, rank * 2 + 1000000 from hop union all select question_id, t, rank * 2 + 1000001 from hop),
-ent as (select * from (select *, row_number() over (partition by question_id order by ord, node) as rank from (select question_id, node, min(ord) as ord from ends where not starts_with(node, 'Document:') group by all)) where rank <= 30)"""
-
-
-@query(f"with {_FUSED}, {_FULL_MEMBERS} select chunk_id, node from members")
-def chunk_members_full(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, edges = _fused(spark, folder)
-    return graph_algo.chunk_members(table(spark, folder, "chunks"), edges, nodes)
-
-
-@query(f"with {_FULL_HOP} select question_id, s, rel_type, t, cast(score as double) as score, cast(rank as integer) as rank from hop")
-def one_hop_ranked_full(spark: SparkSession, folder: str) -> DataFrame:
-    _, edges = _fused(spark, folder)
-    return _hop(spark, edges).select("question_id", "s", "rel_type", "t", "score", "rank")
-
-
-@query(f"with {_FULL_ENT} select question_id, node, cast(rank as integer) as rank from ent")
-def entity_expand_full(spark: SparkSession, folder: str) -> DataFrame:
     _, edges = _fused(spark, folder)
     return graph_algo.expand_entities(_seeds(spark), _hop(spark, edges)).select("question_id", "node", "rank")
 
 
-@query(f"with {_FULL_ENT}, {_FULL_MEMBERS}, counted as (select question_id, chunk_id, count(distinct node) as n_shared from members join ent using (node) group by all union all select distinct question_id, source_chunk_id, 0 from hop where source_chunk_id in (select chunk_id from members)), sh as (select question_id, chunk_id, max(n_shared) as n_shared from counted group by all) select * from (select question_id, chunk_id, n_shared, cast(row_number() over (partition by question_id order by n_shared desc, chunk_id desc) as integer) as rank from sh) where rank <= 8")
-def chunk_overlap_full(spark: SparkSession, folder: str) -> DataFrame:
+@query(f"with {_ENT}, {_MEMBERS}, counted as (select question_id, chunk_id, count(distinct node) as n_shared from members join ent using (node) group by all union all select distinct question_id, source_chunk_id, 0 from hop where source_chunk_id in (select chunk_id from members)), sh as (select question_id, chunk_id, max(n_shared) as n_shared from counted group by all) select * from (select question_id, chunk_id, n_shared, cast(row_number() over (partition by question_id order by n_shared desc, chunk_id desc) as integer) as rank from sh) where rank <= 8")
+def chunk_overlap(spark: SparkSession, folder: str) -> DataFrame:
     nodes, edges = _fused(spark, folder)
     ranked = _hop(spark, edges)
     members = graph_algo.chunk_members(table(spark, folder, "chunks"), edges, nodes)
