@@ -2,7 +2,8 @@
 
 All matching is by equi-joins: ids through tokens, names through grams. A name lies inside
 a text (or a text inside a name) only if the first gram of the shorter one is a gram of the
-longer one, so that gram is the join key and containment is checked on what meets.
+longer one, so that gram, as long as the name allows, is the join key. Texts don't go through
+these joins: what may match is joined back to its text once, and containment is checked there.
 """
 
 from __future__ import annotations
@@ -13,12 +14,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import col, real_key
-from weftgraph.operators.skew import salted_join
+from weftgraph.operators.skew import LOOK, salted_join
 from weftgraph.operators.specs import SUPPLY_CHAIN, GraphSpec
 from weftgraph.runtime import cut
 from weftgraph.sources.tables import optional_table
 
 GRAM = 4
+#: Lengths of the grams that names are looked up by; a name has the longest that it fills.
+GRAMS = (12, 8, 4, 3, 2, 1)
+#: Catalogue entries (a few short strings each, so some 10 MB) up to which they are broadcast.
+BROADCAST_ENTRIES = 100_000
+#: Names (some twenty grams each) up to which their grams are broadcast.
+BROADCAST_NAMES = 10_000
 #: Distinct first grams of names (a few characters each, so some 10 MB) up to which texts are filtered by broadcast.
 BROADCAST_GRAMS = 200_000
 #: Label of entities that only texts know.
@@ -80,38 +87,52 @@ def _grams(c: Column, n: int = GRAM) -> Column:
     return F.when(size >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
+def _met(rows: DataFrame, side: DataFrame, on: list[str], spread: Column, small: bool, counted: DataFrame) -> DataFrame:
+    """An inner join with ``side``: broadcast where it was counted small, else salted by the hot keys of ``counted``, a sample of ``rows``."""
+    return rows.join(F.broadcast(side), on) if small else salted_join(rows, side, on, spread, how="inner", counted=counted, look=1.0)
+
+
 def link_ids(texts: DataFrame, key: str, text: str, catalog: DataFrame) -> DataFrame:
     """(``key``, label, id): ids that stand in the text as a word, whatever their case.
 
     Ids must consist of word characters; then a word match is equality with a token. If every id
     holds a digit, words without one are left out before the join.
     """
-    words = texts.select(key, F.explode(_tokens(text)).alias("_token"))
-    if catalog.filter(~F.col("id").rlike("[0-9]")).isEmpty():
-        words = words.filter(F.col("_token").rlike("[0-9]"))
     ids = catalog.select("label", "id", F.lower("id").alias("_token"))
-    return salted_join(words, ids, ["_token"], F.col(key), how="inner").select(key, "label", "id")
+    size, numbered = catalog.agg(F.count("*"), F.coalesce(F.every(F.col("id").rlike("[0-9]")), F.lit(True))).first()
+
+    def words(rows: DataFrame) -> DataFrame:
+        found = rows.select(key, F.explode(_tokens(text)).alias("_token"))
+        return found.filter(F.col("_token").rlike("[0-9]")) if numbered else found
+
+    return _met(words(texts), ids, ["_token"], F.col(key), size <= BROADCAST_ENTRIES, words(texts.sample(LOOK, seed=7))).select(key, "label", "id")
 
 
 def link_names(texts: DataFrame, key: str, text: str, catalog: DataFrame, least: int = 1) -> DataFrame:
-    """(``key``, label, id): names of ``least`` or more characters that lie inside the text, whatever their case."""
-    names = catalog.filter(F.length("name") >= least).select("label", "id", F.lower("name").alias("_name"))
-    lowered = texts.select(key, F.lower(text).alias("_text"))
-    sizes = [GRAM] + ([n for n in range(1, GRAM)] if least < GRAM else [])
-    found = []
-    for n in sizes:
-        mine = names.filter(F.length("_name") >= n if n == GRAM else F.length("_name") == n).withColumn("_gram", F.substring("_name", 1, n))
-        wanted = cut(mine.select("_gram").distinct())
-        size = wanted.count()
-        if not size:
-            continue
-        grams = lowered.select(key, "_text", F.explode(_grams(F.col("_text"), n)).alias("_gram"))
-        kept = grams.join(F.broadcast(wanted) if size <= BROADCAST_GRAMS else wanted, "_gram", "left_semi")
-        hits = salted_join(kept, mine, ["_gram"], F.col(key), how="inner", counted=mine).filter(F.contains("_text", "_name"))
-        found.append(hits.select(key, "label", "id"))
-    if not found:
+    """(``key``, label, id): names of ``least`` or more characters that lie inside the text, whatever their case.
+
+    Grams and row numbers go through the joins, texts don't: each is joined once with the names that may lie in it.
+    """
+    names = catalog.filter(F.length("name") >= F.lit(max(1, least))).select("label", "id", F.lower("name").alias("_name"))
+    size = F.length("_name")
+    gram = F.substring("_name", 1, GRAMS[-1])
+    for n in reversed(GRAMS[:-1]):
+        gram = F.when(size >= n, F.substring("_name", 1, n)).otherwise(gram)
+    names = cut(names.withColumn("_gram", gram))
+    lengths = sorted(r[0] for r in names.select(F.length("_gram")).distinct().collect())  # at most those of GRAMS
+    if not lengths:
         return texts.select(key).limit(0).withColumns({"label": F.lit(""), "id": F.lit("")})
-    return reduce(DataFrame.unionByName, found).distinct()
+    wanted = names.select("_gram").distinct()
+    known, few = names.count(), wanted.count() <= BROADCAST_GRAMS
+    # equal rows have the same number; rows that happen to share one are told apart below, since each is checked itself
+    lowered = texts.select(key, F.lower(text).alias("_text")).withColumn("_row", F.xxhash64(key, "_text"))
+
+    def grams(rows: DataFrame) -> DataFrame:
+        listed = rows.select("_row", F.explode(F.concat(*[_grams(F.col("_text"), n) for n in lengths])).alias("_gram"))
+        return listed.join(F.broadcast(wanted) if few else wanted, "_gram", "left_semi")
+
+    near = _met(grams(lowered), names, ["_gram"], F.col("_row"), known <= BROADCAST_ENTRIES, grams(lowered.sample(LOOK, seed=7)))
+    return lowered.join(near.select("_row", "label", "id", "_name"), "_row").filter(F.contains("_text", "_name")).select(key, "label", "id").distinct()
 
 
 def link_entities(texts: DataFrame, key: str, text: str, catalog: DataFrame, least: int = 1) -> DataFrame:
@@ -149,13 +170,18 @@ def resolve_values(values: DataFrame, value: str, catalog: DataFrame) -> DataFra
     names = cut(first_names(catalog))
     exact = names.select(F.col("name_key").alias("_key"), F.struct("id", "label", "name").alias("by_name"))
     step = distinct.join(ids, "_id", "left").join(exact, "_key", "left")
-    open_ = step.filter("by_id is null and by_name is null").filter(F.length("_key") >= 4).select("_key").distinct()
-    inside_name = open_.withColumn("_gram", F.substring("_key", 1, GRAM)).join(names.filter(F.length("name_key") >= GRAM).withColumn("_gram", F.explode(_grams(F.col("name_key")))), "_gram").filter(F.contains("name_key", "_key"))
-    parts = [inside_name]
-    for n in range(1, GRAM + 1):  # names of n characters, or of GRAM and more
-        short = names.filter((F.length("name_key") >= n) if n == GRAM else (F.length("name_key") == n)).withColumn("_gram", F.substring("name_key", 1, n))
-        parts.append(open_.withColumn("_gram", F.explode(_grams(F.col("_key"), n))).join(short, "_gram").filter(F.contains("_key", "name_key")))
-    partial = reduce(DataFrame.unionByName, [p.select("_key", "id", "label", "name", "ord") for p in parts]).groupBy("_key").agg(F.min_by(F.struct("id", "label", "name"), "ord").alias("by_part"))
+    open_ = cut(step.filter("by_id is null and by_name is null").filter(F.length("_key") >= 4).select("_key").distinct())
+    small = names.count() <= BROADCAST_NAMES
+    look = open_.sample(LOOK, seed=7)
+    # the value inside a name: the value's first gram is one of the name's
+    parts = names.filter(F.length("name_key") >= GRAM).withColumn("_gram", F.explode(_grams(F.col("name_key"))))
+    first = lambda rows: rows.withColumn("_gram", F.substring("_key", 1, GRAM))
+    inside_name = _met(first(open_), parts, ["_gram"], F.col("_key"), small, first(look)).filter(F.contains("name_key", "_key"))
+    # a name inside the value: the name's first gram, as long as the name up to GRAM, is one of the value's
+    heads = names.filter("name_key <> ''").withColumn("_gram", F.substring("name_key", 1, GRAM))
+    every = lambda rows: rows.withColumn("_gram", F.explode(F.concat(*[_grams(F.col("_key"), n) for n in range(1, GRAM + 1)])))
+    inside_value = _met(every(open_), heads, ["_gram"], F.col("_key"), small, every(look)).filter(F.contains("_key", "name_key"))
+    partial = inside_name.select("_key", "id", "label", "name", "ord").unionByName(inside_value.select("_key", "id", "label", "name", "ord")).groupBy("_key").agg(F.min_by(F.struct("id", "label", "name"), "ord").alias("by_part"))
     full = step.join(partial, "_key", "left")
     best = F.coalesce("by_id", "by_name", "by_part")
     how = F.when(F.col("by_id").isNotNull(), "id").when(F.col("by_name").isNotNull(), "name").when(F.col("by_part").isNotNull(), "partial").otherwise("none")

@@ -77,8 +77,9 @@ def upsert_nodes(df: DataFrame, spec: NodeSpec, order: str | None) -> DataFrame:
 
 @dataclass
 class EdgeSet:
-    src_label: str
-    dst_label: str
+    #: None where the labels depend on the data and stand in the columns src_label and dst_label
+    src_label: str | None
+    dst_label: str | None
     origin: str
     df: DataFrame
     #: None where the relationship depends on the data and stands in the column rel_type
@@ -108,7 +109,8 @@ class Graph:
 
 def edge_rows(e: EdgeSet) -> DataFrame:
     """An edge set in the generic columns."""
-    cols = {"src_label": F.lit(e.src_label), "dst_label": F.lit(e.dst_label), "origin": F.lit(e.origin), "rel_type": F.lit(e.rel_type) if e.rel_type else F.col("rel_type"), "src": F.col("src").cast("string"), "dst": F.col("dst").cast("string")}
+    labels = {k: F.lit(v) if v else F.col(k) for k, v in (("src_label", e.src_label), ("dst_label", e.dst_label))}
+    cols = labels | {"origin": F.lit(e.origin), "rel_type": F.lit(e.rel_type) if e.rel_type else F.col("rel_type"), "src": F.col("src").cast("string"), "dst": F.col("dst").cast("string")}
     for c, t in _EDGE_TYPES.items():
         cols[c] = F.col(c).cast(t) if c in e.df.columns else F.lit(None).cast(t)
     return e.df.select(*[cols[c].alias(c) for c in EDGE_COLUMNS])

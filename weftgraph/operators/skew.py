@@ -33,17 +33,17 @@ def hot_frame(df: DataFrame, keys: list[str], hot: list[tuple]) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(hot, T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])).withColumn("_hot", F.lit(True)))
 
 
-def salted_join(big: DataFrame, side: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = 32, share: float = 0.02, counted: DataFrame | None = None, distinct: bool = False) -> DataFrame:
+def salted_join(big: DataFrame, side: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = 32, share: float = 0.02, counted: DataFrame | None = None, distinct: bool = False, look: float | None = None) -> DataFrame:
     """Join ``side`` to ``big`` on ``keys``; rows of hot keys of ``big`` are spread over ``salts`` partitions.
 
     Hot keys are counted in ``counted`` where it is given: a cheaper table with the same key
-    columns, such as the one ``big`` was made from. Without hot keys this is a plain join.
+    columns, such as the one ``big`` was made from; ``look`` is the share of it that is looked at. Without hot keys this is a plain join.
     Only the rows of ``side`` with a hot key are repeated. ``spread`` must be a deterministic
     column of ``big`` with many values. ``how``: inner, left, left_semi or left_anti. With
     ``distinct`` repeated rows of ``big`` count once, in the same shuffle as the join.
     Null keys match nothing; otherwise duplicates on either side behave as in a plain join.
     """
-    hot = hot_keys(big if counted is None else counted, keys, share)
+    hot = hot_keys(big if counted is None else counted, keys, share, look)
     if not hot:
         return (big.repartition(*keys).distinct() if distinct else big).join(side, keys, how)
     marked = hot_frame(big, keys, hot)

@@ -54,20 +54,15 @@ def merged_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fused_graph(spark: SparkSession, folder: str) -> Graph:
-    """The structured graph with the promoted edges of the documents as edge sets, one per label pair of the catalogue."""
+    """The structured graph with the promoted edges of the documents as one edge set that holds their labels."""
     graph = graph_build.supply_chain(spark, folder)
     ops = operations(spark, folder)
     key = ["src_label", "src", "rel_type", "dst_label", "dst"]
     edges = ops.groupBy(*key).agg(F.min_by(F.struct("confidence", "source_doc", "source_chunk_id", "evidence"), "ord").alias("e")).select(*key, "e.*")
-    edges = cut(edges)  # one edge set per label pair reads it
     known = catalog.mentioned_entities(table(spark, folder, "extracted_triples"))
     for label in catalog.ID_LABELS.values():
         graph.nodes[label], graph.names[label] = known.filter(F.col("label") == label).select("id"), None
-    labels = sorted(set(graph.nodes) - {"Document"})
-    for a in labels:
-        for b in labels:
-            mine = edges.filter((F.col("src_label") == a) & (F.col("dst_label") == b)).drop("src_label", "dst_label")
-            graph.edges.append(EdgeSet(a, b, "extracted", mine))
+    graph.edges.append(EdgeSet(None, None, "extracted", cut(edges)))
     return graph
 
 

@@ -477,22 +477,27 @@ class Compiler:
             if rel.types and e.rel_type and e.rel_type not in rel.types:
                 continue
             for near, far, flipped in ((e.src_label, e.dst_label, False), (e.dst_label, e.src_label, True)):
-                if (a and near != a) or (b and far != b):
+                if near and ((a and near != a) or (b and far != b)):
                     continue
-                parts.append(self._oriented(e, rel, wanted, flipped, far_read or flipped))
+                parts.append(self._oriented(e, rel, wanted, flipped, far_read or flipped, a, b))
         if not parts:
             raise PatternError(f"nothing connects ({a or ''}) and ({b or ''}) by {'|'.join(rel.types) or 'any relationship'}")
         if any(p.dtypes[i][1] != parts[0].dtypes[i][1] for p in parts for i in (0, 2)):
             parts = [p.withColumns({c: F.col(c).cast("string") for c in ("_near", "_far")}) for p in parts]
         return reduce(lambda x, y: x.unionByName(y), parts)
 
-    def _oriented(self, e: EdgeSet, rel: Rel, wanted: list[str], flipped: bool, trusted: bool) -> DataFrame:
+    def _oriented(self, e: EdgeSet, rel: Rel, wanted: list[str], flipped: bool, trusted: bool, a: str | None, b: str | None) -> DataFrame:
         df = e.unchecked if trusted and e.unchecked is not None else e.df
         kind = F.lit(e.rel_type) if e.rel_type else F.col("rel_type")
         if rel.types and not e.rel_type:
             df = df.filter(F.col("rel_type").isin(*rel.types))
+        near, far = ("dst", "src") if flipped else ("src", "dst")
+        labels = {"src": F.lit(e.src_label), "dst": F.lit(e.dst_label)} if e.src_label else {"src": F.col("src_label"), "dst": F.col("dst_label")}
+        if not e.src_label:  # the labels that the pattern names, or any that the graph has
+            for end, label in ((near, a), (far, b)):
+                df = df.filter(labels[end] == label if label else labels[end].isin(*sorted(self.graph.nodes)))
         if flipped and e.src_label == e.dst_label:
-            df = df.filter("src <> dst")  # a self loop matches once
+            df = df.filter((F.col("src") != F.col("dst")) | (labels["src"] != labels["dst"]))  # a self loop matches once
 
         def prop(k: str) -> Column:
             if k == "origin":
@@ -501,10 +506,8 @@ class Compiler:
 
         for k, v in rel.props:
             df = df.filter(prop(k) == F.lit(v))
-        near, far = ("dst", "src") if flipped else ("src", "dst")
-        labels = (e.dst_label, e.src_label) if flipped else (e.src_label, e.dst_label)
-        identity = F.concat_ws("\u0001", F.lit(e.src_label), F.col("src"), kind, F.lit(e.dst_label), F.col("dst"))
-        return df.select(F.col(near).alias("_near"), F.lit(labels[0]).alias("_near_label"), F.col(far).alias("_far"), F.lit(labels[1]).alias("_far_label"), identity.alias(rel.var), kind.alias(f"{rel.var}#type"), *[prop(k).alias(f"{rel.var}.{k}") for k in wanted])
+        identity = F.concat_ws("\u0001", labels["src"], F.col("src"), kind, labels["dst"], F.col("dst"))
+        return df.select(F.col(near).alias("_near"), labels[near].alias("_near_label"), F.col(far).alias("_far"), labels[far].alias("_far_label"), identity.alias(rel.var), kind.alias(f"{rel.var}#type"), *[prop(k).alias(f"{rel.var}.{k}") for k in wanted])
 
     def _match(self, rows: DataFrame | None, m: Match) -> DataFrame:
         found = rows
@@ -578,7 +581,7 @@ class Compiler:
     def _fused(self, rel: Rel, a: str | None, b: Node) -> DataFrame | None:
         """Edges that stand in the rows of their source nodes, with the nodes' columns, so the nodes aren't joined again."""
         label = b.label or self.labels.get(b.var)
-        fits = [(e, flipped) for e in self.graph.edges if not (rel.types and e.rel_type and e.rel_type not in rel.types) for near, far, flipped in ((e.src_label, e.dst_label, False), (e.dst_label, e.src_label, True)) if (not a or near == a) and far == label]
+        fits = [(e, flipped) for e in self.graph.edges if not (rel.types and e.rel_type and e.rel_type not in rel.types) for near, far, flipped in ((e.src_label, e.dst_label, False), (e.dst_label, e.src_label, True)) if not near or (not a or near == a) and far == label]
         if len(fits) != 1 or not fits[0][1] or fits[0][0].wide is None or rel.props or self.needed.get(rel.var, set()) - {"origin"}:
             return None
         e, df = fits[0][0], fits[0][0].wide
