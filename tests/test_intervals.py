@@ -1,9 +1,11 @@
 import datetime as dt
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from weftgraph.operators import skew
 from weftgraph.operators.intervals import OPEN_END, IntervalMap, intervals, periods_and_gaps
 
 D = dt.date
@@ -61,7 +63,8 @@ def test_order_and_grouping_of_insertions_play_no_part(data, rng):
     for part in parts:
         for x in zip(part.first, part.last, part.owner):
             merged.insert(*x)
-    assert [getattr(merged, k) for k in IntervalMap.__slots__] == [getattr(whole, k) for k in IntervalMap.__slots__]
+    for k in ("first", "last", "owner", "starts", "ends", "shared", "gaps"):
+        assert getattr(merged, k) == getattr(whole, k)
 
 
 def test_state_is_bounded_by_the_days_and_not_by_the_rows():
@@ -99,7 +102,10 @@ def test_a_record_never_overlaps_itself(spark):
     assert _run(spark, data) == [("X", "period", "2020-01-01", "2020-01-20", False)]
 
 
-def test_hot_entity_equals_counting_days(spark):
+@pytest.mark.parametrize("least", [1, 10**9])
+def test_hot_entity_equals_counting_days(spark, monkeypatch, least):
+    monkeypatch.setattr(skew, "LOOK", 1.0)
+    monkeypatch.setattr(skew, "LEAST", least)
     rng = random.Random(3)
     base = D(2020, 1, 1)
     records = [(str(i % 150), rng.randrange(0, 900), rng.randrange(0, 6)) for i in range(200)]

@@ -54,8 +54,9 @@ def as_known_at(events: DataFrame, versions: DataFrame, entity: list[str], day:
     ``how`` inner leaves events without a version out, left keeps them with a null winner.
     Events with a null day or entity key have no version. Repeated events stay repeated.
     Events and intervals meet in an equi-join on entity and bucket; one row holds the disjoint
-    intervals of an entity and bucket, ``width`` at most. Both sides move once, by entity. Entities with ``share`` or more of the versions or events (at
-    most 2 / ``share`` of them) are spread by bucket instead, their versions combined before they
+    intervals of an entity and bucket, ``width`` at most. Versions move by entity before they are
+    cut into buckets. Entities with ``share`` or more of the versions or events (at
+    most 2 / ``share`` of them) are spread by bucket from the start, their versions combined before they
     move and their events salted by ``event_key``.
     """
     dated = events.withColumn("_bucket", F.floor(F.col(day) / width).cast("int"))
@@ -70,9 +71,9 @@ def as_known_at(events: DataFrame, versions: DataFrame, entity: list[str], day:
         parts.append(salted_join(hot_events, folded, [*entity, "_bucket"], F.col(event_key), how="left"))
     else:
         cold_events, cold_versions = dated, versions
-    # both sides are partitioned by entity already, which is enough for the join on entity and bucket
+    # versions move by entity before they are cut into buckets; what is left of them and the events meet by entity and bucket
     segments = _fold(disjoint_validity(cold_versions.repartition(*entity), entity, rank, buckets, width), [*entity, "_bucket"])
-    parts.append(cold_events.repartition(*entity).join(segments, [*entity, "_bucket"], "left"))
+    parts.append(cold_events.join(segments, [*entity, "_bucket"], "left"))
     joined = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     inside = F.filter("_segments", lambda s: (s["seg_from"] <= F.col(day)) & (F.col(day) < s["seg_to"]))
     known = joined.withColumn("winner", F.try_element_at(inside, F.lit(1))["winner"]).select(*events.columns, "winner")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import real_key
+from weftgraph.operators.skew import hot_frame, hot_keys
 
 #: Day number of 9999-12-31, which stands for an open end.
 OPEN_END = 2932896
@@ -27,30 +28,25 @@ HELD = 200_000
 EMIT = 20_000
 
 
-class IntervalMap:
-    """Days by the record that covers them, the periods they form, and the gaps between these.
+class Coverage:
+    """Days by the record that covers them: disjoint intervals in order, ``owner`` None where two or more records share the days."""
 
-    ``first``, ``last`` and ``owner`` are disjoint intervals in order, ``owner`` None where two or more
-    records share the days. ``starts``, ``ends`` and ``shared`` are the periods: disjoint, not
-    touching, in order, marked if they hold a shared day. ``gaps[i]`` lies between periods i and i + 1.
-    """
-
-    __slots__ = ("first", "last", "owner", "starts", "ends", "shared", "gaps")
-
-    def __init__(self, first: Iterable[int] = (), last: Iterable[int] = (), owner: Iterable[str | None] = ()):
-        self.first, self.last, self.owner = [], [], []
-        self.starts, self.ends, self.shared, self.gaps = [], [], [], []
-        for a, b, r in zip(first, last, owner):
-            self.insert(a, b, r)
+    __slots__ = ("first", "last", "owner")
 
-    def insert(self, a: int, b: int, record: str | None) -> None:
-        """Add days ``a`` to ``b`` of ``record`` (None: of several records)."""
-        self._merge(a, b, self._cover(a, b, record))
+    def __init__(self) -> None:
+        self.first: list[int] = []
+        self.last: list[int] = []
+        self.owner: list[str | None] = []
 
-    def _cover(self, a: int, b: int, record: str | None) -> bool:
-        """Note who covers the days; whether any of them is shared now."""
+    def insert(self, a: int, b: int, record: str | None) -> bool:
+        """Add days ``a`` to ``b`` of ``record`` (None: of several records); whether any of them is shared now."""
         lo, hi = bisect_left(self.last, a), bisect_right(self.first, b)
         if lo == hi:  # nobody was here
+            if (not lo or self.last[lo - 1] < a - 1) and (hi == len(self.first) or self.first[hi] > b + 1):
+                self.first.insert(lo, a)
+                self.last.insert(lo, b)
+                self.owner.insert(lo, record)
+                return record is None
             new = [(a, b, record)]
         else:
             new, at = [], a
@@ -82,6 +78,27 @@ class IntervalMap:
         self.first[lo:hi], self.last[lo:hi], self.owner[lo:hi] = map(list, zip(*joined))
         return shared
 
+
+class IntervalMap(Coverage):
+    """The state of an entity: its coverage, the periods it forms, and the gaps between these.
+
+    ``starts``, ``ends`` and ``shared`` are the periods: disjoint, not touching, in order, marked if
+    they hold a shared day. ``gaps[i]`` lies between periods i and i + 1.
+    """
+
+    __slots__ = ("starts", "ends", "shared", "gaps")
+
+    def __init__(self, first: Iterable[int] = (), last: Iterable[int] = (), owner: Iterable[str | None] = ()):
+        super().__init__()
+        self.starts, self.ends, self.shared, self.gaps = [], [], [], []
+        for a, b, r in zip(first, last, owner):
+            self.insert(a, b, r)
+
+    def insert(self, a: int, b: int, record: str | None) -> bool:
+        shared = super().insert(a, b, record)
+        self._merge(a, b, shared)
+        return shared
+
     def _merge(self, a: int, b: int, shared: bool) -> None:
         """Unite the periods that the days overlap or touch, and close, narrow or open the gaps around them."""
         lo = bisect_left(self.ends, a - 1)  # the first period that ends on the day before a or later
@@ -120,7 +137,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, str | N
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in any order → the intervals of the maps that they form, key by key; handed on once too many are held."""
-    state: dict[tuple[str, str], IntervalMap] = {}
+    state: dict[tuple[str, str], Coverage] = {}
     held = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -136,7 +153,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t, e, r, a, b in _rows(batches):
         m = state.get((t, e))
         if m is None:
-            m = state[t, e] = IntervalMap()
+            m = state[t, e] = Coverage()
         held -= len(m.first)
         m.insert(a, b, r)
         held += len(m.first)
@@ -186,11 +203,18 @@ def periods_and_gaps(rows: DataFrame, salts: int = 16) -> DataFrame:
     """Rows of ``intervals`` → ref_table, entity_key, kind (period or gap), first_day, last_day (DATE), shared.
 
     ``shared`` marks periods with a day that two or more records cover. An entity with one
-    period has no gap; an empty input gives no rows. Rows are folded into maps where they are read,
-    those maps by entity and salt, and these by entity: what meets for one entity is at most
-    ``salts`` maps of its days. The salt goes by day, so equal intervals meet in the first step.
+    period has no gap; an empty input gives no rows. Rows are folded into maps where they are read.
+    Those of hot entities meet by entity and salt first, so that at most ``salts`` maps of
+    their days go to one task; which entities are taken for hot plays no part in the result. The
+    salt goes by day, so equal intervals meet in the first step.
     """
-    salted = fold(rows).withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
-    spread = salted.repartition("ref_table", "entity_key", "salt").mapInArrow(_fold, _PARTS)
-    merged = spread.repartition("ref_table", "entity_key").sortWithinPartitions("ref_table", "entity_key").mapInArrow(_finish, _RESULTS)
+    key = ["ref_table", "entity_key"]
+    hot = hot_keys(rows, key)
+    if hot:
+        marked = hot_frame(rows, key, hot).drop("_hot")
+        spread = fold(rows.join(marked, key, "left_semi")).repartition(*key, F.pmod(F.xxhash64("a"), F.lit(salts))).mapInArrow(_fold, _PARTS)
+        parts = fold(rows.join(marked, key, "left_anti")).unionByName(spread)
+    else:
+        parts = fold(rows)
+    merged = parts.repartition(*key).sortWithinPartitions(*key).mapInArrow(_finish, _RESULTS)
     return merged.select("ref_table", "entity_key", "kind", F.date_from_unix_date("a").alias("first_day"), F.date_from_unix_date("b").alias("last_day"), "shared")
