@@ -26,6 +26,8 @@ from weftgraph.runtime import cut
 
 #: Ranks are numbered in groups of about this many items.
 GROUP_ROWS = 250_000
+#: Segments of one size in a bucket, by which items find theirs when the plan is joined by shuffle.
+RANKS = 4096
 #: Plans up to this many segments (48 bytes each, so 10 MB) are broadcast; larger ones are joined by
 #: shuffle. A plan has at most about 1.5 x capacity squared segments and usually two or three per size.
 BROADCAST_SEGMENTS = 200_000
@@ -184,7 +186,9 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id") -> DataFr
     out = ["container_kind", "capacity_tokens", "container_no", key, "piece_no", "from_token", "to_token", "tokens"]
     if len(segments) > BROADCAST_SEGMENTS:
         planned = spark.createDataFrame(segments, "container_kind string, tokens bigint, rank_from bigint, rank_to bigint, first_bin bigint, per_bin bigint")
-        placed = ranked.join(planned, ["container_kind", "tokens"]).filter("_rank >= rank_from and _rank < rank_to")
+        # a segment stands once in every bucket of ranks that it touches, and items of one size spread over those buckets
+        planned = planned.withColumn("_bucket", F.explode(F.expr(f"sequence(rank_from div {RANKS}, (rank_to - 1) div {RANKS})")))
+        placed = ranked.withColumn("_bucket", F.expr(f"_rank div {RANKS}")).join(planned, ["container_kind", "tokens", "_bucket"]).filter("_rank >= rank_from and _rank < rank_to")
         return placed.withColumn("container_no", (F.col("first_bin") + F.expr("(_rank - rank_from) div per_bin")).cast("bigint")).select(*out)
     shared = spark.sparkContext.broadcast(_Plan(segments))
     place = F.pandas_udf(lambda kind, tokens, rank: shared.value.bins(kind, tokens, rank), "bigint")
