@@ -161,6 +161,59 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([DATA, "query", "MATCH (p:Product)-[:SUPPLIED_BY]-(s:Supplier) RETURN count(*) AS n"]) == 0
 
 
+@needs_data
+def test_documents_to_edges_with_a_scripted_model(spark, tmp_path):
+    from weftgraph import providers as P
+    from weftgraph.operators import extraction
+    from weftgraph.pipeline import Options, documents_to_operations
+
+    def scripted(messages, schema):
+        """Relates the first two records of the list."""
+        import json
+
+        ids = [x[2:].split(" ")[0] for x in messages[-1]["content"].splitlines() if x.startswith("- ")]
+        return json.dumps({"triples": [{"subject_id": ids[0], "predicate": "goes with", "object_id": ids[1], "evidence": ids[0]}]})
+
+    gated, ops = documents_to_operations(spark, DATA, Options(source="documents", normalize="endpoint_override", limit=40), P.ModelExtractor(P.Model(scripted)))
+    n = extraction.funnel(gated).first()
+    assert n.raw > 0 and n.resolved > 0 and ops.filter("rel_type = 'GOES_WITH'").count() > 0
+    merged = extraction.upsert(spark.createDataFrame([], "src_label string, src string, rel_type string, dst_label string, dst string, origin string, confidence double, source_doc string, source_chunk_id string, evidence string, doc_corroborations bigint"), ops)
+    assert merged.count() == ops.select("src", "rel_type", "dst", "src_label", "dst_label").distinct().count()
+
+
+@needs_data
+def test_open_mode_and_csv_build(spark, tmp_path):
+    from weftgraph.__main__ import main
+
+    assert main([DATA, "extract", "--entities", "open", "--normalize", "off", "--entity-tau", "0.9", "--out", str(tmp_path / "e")]) == 0
+    edges = spark.read.parquet(str(tmp_path / "e/edges"))
+    assert edges.filter("src_label = 'ExtractedEntity' or dst_label = 'ExtractedEntity'").count() > 0
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "products.csv").write_text("\ufeffproduct_id,line_id,product_name,unit_cost\nP1,L1,Oat,1.5\nP2,ALL,,x\n", encoding="utf-8")
+    (folder / "production_lines.csv").write_text("\ufeffline_name,line_id\nNorth,l1\n", encoding="utf-8")
+    (folder / "product_suppliers.csv").write_text("product_id,supplier_id,is_primary,valid_from,valid_to,supplier_part_no,contract_unit_cost,minimum_order_qty\nP1,S1,true,2020-01-01,,,2.5,3\n")
+    assert main([str(folder), "build", "--csv", "--out", str(tmp_path / "g")]) == 0
+    got = spark.read.parquet(str(tmp_path / "g/edges")).select("src", "rel_type", "dst").collect()
+    assert sorted(map(tuple, got)) == [("P1", "ON_LINE", "L1"), ("P1", "SUPPLIED_BY", "S1")]
+
+
+@needs_data
+def test_untyped_bridges_and_chunks_as_nodes(spark):
+    from weftgraph import retrieve as R
+    from weftgraph.operators import graph_build
+    from weftgraph.plans import graph_queries as G
+    from weftgraph.sources.tables import table
+
+    graph, chunks = graph_build.with_chunks(G.fused_graph(spark, DATA), table(spark, DATA, "chunks")), table(spark, DATA, "chunks")
+    retriever = R.PatternRetriever(graph, G.project_catalog(spark, DATA), chunks, untyped=True)
+    pair = retriever.compiler.run("MATCH (c:Contract)-[r]-(p:Product) WHERE r.origin = 'extracted' RETURN c.contract_id AS c, p.product_id AS p ORDER BY c, p LIMIT 1").first()
+    found = retriever.retrieve(f"Which product does contract {pair.c} name?")
+    assert "-[r1]-" in found.query and {"id": pair.p} in found.facts and "match them without a type" in found.meta["schema"]
+    n = retriever.compiler.run("MATCH (d:Document)-[:HAS_CHUNK]-(k:Chunk) RETURN count(*) AS n").first().n
+    assert n == graph_build.chunk_edges(chunks, graph.nodes["Document"]).count() > 0
+
+
 @needs_data
 def test_workers_find_the_package_from_any_folder(tmp_path):
     code = f"import sys; sys.path.insert(0, {str(ROOT)!r}); import __spark_entry__ as e; from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').getOrCreate(); print('ROWS', e.queries()['p3_found'](s, {DATA!r}).count())"

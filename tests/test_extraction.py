@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import extraction as X
 from weftgraph.operators.normalize import normalise
-from weftgraph.providers import ChatClient, HashEmbedder, TemplateExtractor, cached_embeddings, extract_triples, split_on_failure
+from weftgraph.providers import HashEmbedder, ItemFailed, Model, SchemaRefused, TemplateExtractor, cached_embeddings, extract_triples, in_parts
 
 COLS = "subject_id string, predicate string, object_id string, subject_match string, object_match string, subject_surface string, object_surface string, predicate_cue string, source_chunk_id string, source_doc_id string, chunk_text string"
 
@@ -171,20 +171,49 @@ def test_embedding_cache_and_batch_halving(spark, tmp_path):
             raise RuntimeError("too large")
         return [batch[0] * 2]
 
-    assert split_on_failure([1, 2, 3], call) == [2, 4, 6] and seen == [3, 1, 2, 1, 1]
-    with pytest.raises(RuntimeError):
-        split_on_failure([1], lambda b: (_ for _ in ()).throw(RuntimeError("no")))
+    assert in_parts([1, 2, 3], call) == [2, 4, 6] and seen == [3, 1, 2, 1, 1] and in_parts([], call) == []
+    with pytest.raises(ItemFailed, match="item 2: ZeroDivisionError") as failed:
+        in_parts([1, 2, 0, 4], lambda b: [1 / x for x in b])
+    assert failed.value.place == 2
 
 
-def test_chat_client_falls_back_once():
-    asked = []
+def test_model_is_asked_in_words_once_a_schema_is_refused():
+    asked, late = [], [True]
 
     def send(messages, schema):
         asked.append((len(messages), schema is not None))
+        if late:
+            late.pop()
+            raise TimeoutError("late")
         if schema:
-            raise RuntimeError("no schema here")
+            raise SchemaRefused
         return '```json\n{"x": [1]}\n```'
 
-    c = ChatClient(send, fold_system=True)
-    assert c.chat_json("s", "u", {"type": "object"}, "x") == {"x": [1]} and c.chat_json("s", "u", {}, "x") == {"x": [1]}
-    assert asked == [(1, True), (1, False), (1, False)]
+    m = Model(send, system_role=False)
+    with pytest.raises(TimeoutError):
+        m.fill("s", "u", {"type": "object"}, "x")
+    assert m.takes_schema  # a timeout says nothing about schemas
+    assert m.fill("s", "u", {"type": "object"}, "x") == {"x": [1]} and m.fill("s", "u", {}, "x") == {"x": [1]}
+    assert asked == [(1, True), (1, True), (1, False), (1, False)]
+
+
+def test_model_providers_read_what_a_script_answers():
+    import json
+
+    from weftgraph import providers as P
+
+    answers = {"List the relations": {"triples": [{"subject_id": "S1", "predicate": "ships", "object_id": "P1", "evidence": "S1 ships P1"}, "x"]}, "Choose the meaning": {"choice": "A"}, "Name every": {"types": ["A", 3]}, "Pick the names": {"names": ["S1"], "topics": ["delay"]}, "Rate from": {"DB": 3, "Doc": "7", "Hybrid": None}}
+
+    def send(messages, schema):
+        ask = messages[0]["content"]
+        return next((json.dumps(v) for k, v in answers.items() if ask.startswith(k)), "said")
+
+    m = P.Model(send)
+    assert P.ModelExtractor(m).extract("S1 ships P1", ["P1", "S1"], [("P1", "Oat")]) == [{"subject_id": "S1", "predicate": "ships", "object_id": "P1", "evidence": "S1 ships P1"}]
+    assert P.ModelSense(m)(["A", "B"], "e") == "A" and P.ModelSense(m)(["B"], "e") == "OTHER"
+    assert P.ModelPruner(m).pick("q", [("a", "A", "b")], []) == ["A"]
+    assert P.ModelKeywords(m).keywords("q") == (["S1"], ["delay"]) and P.ModelKeywords(P.Model(lambda *_: 1 / 0)).keywords("q") == ([], [])
+    assert P.ModelPoints(m).points("q") == {"DB": 3, "Doc": 7, "Hybrid": 0, "LLM": 0}
+    assert P.ModelWriter(m).write("q", [("Supplier", "S1")], [], {}) == "said"
+    assert {k: P.ModelAnswerer(m).answer("q", "c", k) for k in P.ANSWER_FROM} == dict.fromkeys(P.ANSWER_FROM, "said")
+    assert P.RowAnswerer().answer("q", "", "none") != P.RowAnswerer().answer("q", "(no passages)", "documents") == "No results were found."

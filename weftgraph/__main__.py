@@ -6,14 +6,12 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators import evaluate, extraction, graph_build
-from weftgraph.operators.normalize import normalise
+from weftgraph.pipeline import Options, documents_to_operations
 from weftgraph.plans import graph_queries as G
 from weftgraph.plans.pattern import Compiler
-from weftgraph.providers import HashEmbedder
 from weftgraph.runtime import cut, session
 from weftgraph.sources.tables import read_jsonl, table
 
@@ -25,6 +23,8 @@ def _args(argv: list[str]) -> argparse.Namespace:
     sub = p.add_subparsers(dest="command", required=True)
     b = sub.add_parser("build", help="load the tables into nodes and edges")
     b.add_argument("--out")
+    b.add_argument("--csv", action="store_true", help="tables are CSV files with a header")
+    b.add_argument("--chunks", action="store_true", help="with the chunks as nodes")
     e = sub.add_parser("extract", help="gate, normalise, score and merge triples")
     e.add_argument("--out")
     e.add_argument("--dry", action="store_true", help="write the funnel and the quarantine only")
@@ -35,6 +35,9 @@ def _args(argv: list[str]) -> argparse.Namespace:
     e.add_argument("--sense-margin", type=float, default=0.0)
     e.add_argument("--entities", default="bound", choices=["bound", "open"])
     e.add_argument("--show", type=int, default=20)
+    e.add_argument("--source", default="triples", choices=["documents", "chunks", "triples"])
+    e.add_argument("--entity-tau", type=float, default=0.86)
+    e.add_argument("--limit", type=int, help="chunks of a trial run")
     q = sub.add_parser("query", help="run one pattern query")
     q.add_argument("text")
     a = sub.add_parser("ask", help="answer a question, or questions until exit")
@@ -46,6 +49,19 @@ def _args(argv: list[str]) -> argparse.Namespace:
     a.add_argument("--min-support", type=int, default=2)
     a.add_argument("--prune", default="llm", choices=["llm", "none"])
     a.add_argument("--no-dedup", action="store_true")
+    a.add_argument("--untyped", action="store_true", help="bridge pairs without a relationship type")
+    a.add_argument("--k-passages", type=int, default=12)
+    a.add_argument("--m-entities", type=int, default=15)
+    a.add_argument("--alpha", type=float, default=0.15)
+    a.add_argument("--iterations", type=int, default=30)
+    a.add_argument("--tau", "--link-tau", type=float, default=0.5)
+    a.add_argument("--margin", "--link-margin", type=float, default=0.05)
+    a.add_argument("--k-low", type=int, default=5)
+    a.add_argument("--k-type", type=int, default=3)
+    a.add_argument("--r-max", type=int, default=30)
+    a.add_argument("--ent-max", type=int, default=30)
+    a.add_argument("--chunk-max", type=int, default=8)
+    a.add_argument("--items", action="store_true", help="a section per item in the report")
     a.add_argument("--out")
     return p.parse_args(argv)
 
@@ -55,12 +71,14 @@ def _retriever(spark, folder: str, a: argparse.Namespace):
 
     graph, catalog = G.fused_graph(spark, folder), G.project_catalog(spark, folder)
     chunks = table(spark, folder, "chunks")
-    pattern = lambda only=False: R.PatternRetriever(graph, catalog, chunks, retries=a.retries, least_support=a.min_support, prune=a.prune, dedup=not a.no_dedup, structured_only=only)
+    pattern = lambda only=False: R.PatternRetriever(graph, catalog, chunks, retries=a.retries, least_support=a.min_support, prune=a.prune, dedup=not a.no_dedup, structured_only=only, untyped=a.untyped)
     if a.method in ("pattern", "structured"):
         return pattern(a.method == "structured")
     if a.method in ("pagerank", "keyword"):
         tables = R.GraphTables.of(graph, chunks, catalog)
-        return R.PageRankRetriever(tables) if a.method == "pagerank" else R.KeywordRetriever(tables)
+        if a.method == "pagerank":
+            return R.PageRankRetriever(tables, a.k_passages, a.m_entities, a.alpha, a.iterations, a.tau, a.margin)
+        return R.KeywordRetriever(tables, a.k_low, a.k_type, a.r_max, a.ent_max, a.chunk_max, a.tau, a.margin)
     passages = R.VectorRetriever(chunks, a.k)
     if a.method == "vector":
         return passages
@@ -68,18 +86,13 @@ def _retriever(spark, folder: str, a: argparse.Namespace):
     return hybrid if a.method == "hybrid" else R.Router(hybrid)
 
 
-def extract(spark, folder: str, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
-    """(gated triples, edge operations)."""
-    gated = extraction.gate(table(spark, folder, "extracted_triples"), G.project_catalog(spark, folder), a.entities == "open")
-    named = normalise(gated.filter("gate = 'pass'"), a.normalize, HashEmbedder(), None, a.emb_tau, a.sense_tau, a.sense_margin)
-    return gated, cut(extraction.promoted_operations(extraction.score(cut(named), config=extraction.Confidence(tau=a.tau))))
-
-
 def main(argv: list[str] | None = None) -> int:
     a = _args(sys.argv[1:] if argv is None else argv)
     spark = session(a.master)
     if a.command == "build":
-        graph = graph_build.supply_chain(spark, a.folder)
+        graph = graph_build.supply_chain(spark, a.folder, a.csv)
+        if a.chunks:
+            graph = graph_build.with_chunks(graph, table(spark, a.folder, "chunks"))
         edges = cut(graph.all_edges())
         for r in graph_build.report(edges).orderBy("rel_type", "origin").collect():  # one row per relationship
             print(*r)
@@ -88,7 +101,8 @@ def main(argv: list[str] | None = None) -> int:
             graph.all_nodes().write.mode("overwrite").partitionBy("label").parquet(f"{a.out}/nodes")
             edges.write.mode("overwrite").partitionBy("rel_type").parquet(f"{a.out}/edges")
     elif a.command == "extract":
-        gated, ops = extract(spark, a.folder, a)
+        options = Options(a.source, a.entities, a.normalize, a.tau, a.emb_tau, a.entity_tau, a.sense_tau, a.sense_margin, a.limit)
+        gated, ops = documents_to_operations(spark, a.folder, options)
         print(json.dumps(extraction.funnel(gated).first().asDict()))
         for r in extraction.promoted_by_relation(ops).orderBy(F.desc("n_edges"), "rel_type").limit(a.show).collect():
             print(*r)
@@ -107,7 +121,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.eval:
             items = [r.asDict() for r in read_jsonl(spark, a.eval, "item_id bigint, q string, type string, answer string").collect()]  # the evaluation set
             graded = cut(evaluate.grade(R.run_items(spark, items, retriever), "answer", "gold"))
-            print(R.markdown_report(graded, a.method))
+            print(R.markdown_report(graded, a.method, a.items))
             if a.out:
                 graded.write.mode("overwrite").json(a.out)
         else:

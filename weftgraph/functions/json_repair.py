@@ -39,9 +39,17 @@ def read_json(raw: str | None, list_key: str | None = None) -> dict:
 
 
 def repaired_json(c: Column | str, list_key: str | None = None) -> Column:
-    """A text column as JSON text that ``from_json`` reads; batches go through Arrow."""
+    """A text column as JSON text that ``from_json`` reads.
+
+    A text that is one JSON object as it is (and, with ``list_key``, holds that key) stays as it is and never
+    leaves the JVM; the rest is repaired in Arrow batches.
+    """
+    raw = F.col(c) if isinstance(c, str) else c
 
     def repair(s: pd.Series) -> pd.Series:
         return s.map(lambda x: json.dumps(read_json(x, list_key), ensure_ascii=False))
 
-    return F.pandas_udf(repair, "string")(F.col(c) if isinstance(c, str) else c)
+    valid = F.startswith(F.trim(raw), F.lit("{")) & F.json_object_keys(raw).isNotNull()
+    if list_key:
+        valid = valid & F.array_contains(F.json_object_keys(raw), list_key)
+    return F.coalesce(F.when(valid, raw), F.pandas_udf(repair, "string")(F.when(~F.coalesce(valid, F.lit(False)), F.coalesce(raw, F.lit("")))))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from weftgraph.functions.keys import norm_key, real_key, reference_key
 from weftgraph.operators.specs import FkSpec, GraphSpec, JunctionSpec, LinkSpec, NodeSpec
-from weftgraph.sources.tables import optional_table
+from weftgraph.sources.tables import csv_table, optional_table
 
 EDGE_COLUMNS = ["src_label", "src", "rel_type", "dst_label", "dst", "origin", "confidence", "source_doc", "source_chunk_id", "evidence", "doc_corroborations"]
 _EDGE_TYPES = {"confidence": "double", "source_doc": "string", "source_chunk_id": "string", "evidence": "string", "doc_corroborations": "bigint"}
@@ -80,7 +80,7 @@ class EdgeSet:
     #: None where the labels depend on the data and stand in the columns src_label and dst_label
     src_label: str | None
     dst_label: str | None
-    origin: str
+    origin: str | None
     df: DataFrame
     #: None where the relationship depends on the data and stands in the column rel_type
     rel_type: str | None = None
@@ -110,7 +110,7 @@ class Graph:
 def edge_rows(e: EdgeSet) -> DataFrame:
     """An edge set in the generic columns."""
     labels = {k: F.lit(v) if v else F.col(k) for k, v in (("src_label", e.src_label), ("dst_label", e.dst_label))}
-    cols = labels | {"origin": F.lit(e.origin), "rel_type": F.lit(e.rel_type) if e.rel_type else F.col("rel_type"), "src": F.col("src").cast("string"), "dst": F.col("dst").cast("string")}
+    cols = labels | {"origin": F.lit(e.origin).cast("string"), "rel_type": F.lit(e.rel_type) if e.rel_type else F.col("rel_type"), "src": F.col("src").cast("string"), "dst": F.col("dst").cast("string")}
     for c, t in _EDGE_TYPES.items():
         cols[c] = F.col(c).cast(t) if c in e.df.columns else F.lit(None).cast(t)
     return e.df.select(*[cols[c].alias(c) for c in EDGE_COLUMNS])
@@ -226,6 +226,15 @@ def build(spark: SparkSession, folder: str, spec: GraphSpec, extra: dict[str, Da
     return graph
 
 
+def with_chunks(graph: Graph, chunks: DataFrame) -> Graph:
+    """The graph with the chunks as nodes and a HAS_CHUNK edge, of no origin, from the document of each."""
+    node = chunks.select(F.col("chunk_id").alias("id"), "chunk_id", "doc_id", "seq", "text").filter("id is not null")
+    graph.nodes["Chunk"] = node.groupBy("id", "chunk_id").agg(F.min(F.struct("doc_id", "seq", "text")).alias("c")).select("id", "chunk_id", "c.*")
+    graph.names["Chunk"], graph.pks["Chunk"] = None, "chunk_id"
+    graph.edges.append(EdgeSet("Document", "Chunk", None, chunk_edges(chunks, graph.nodes["Document"]), "HAS_CHUNK"))
+    return graph
+
+
 def report(edges: DataFrame) -> DataFrame:
     """Edges per relationship and origin."""
     return edges.groupBy("rel_type", "origin").agg(F.count("*").alias("n_edges"))
@@ -243,10 +252,18 @@ def derived_suppliers(spark: SparkSession, folder: str) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts).groupBy(real_key("supplier_id").alias("supplier_id")).agg(F.min("recorded_at").alias("recorded_at")).withColumn("supplier_name", F.lit(None).cast("string"))
 
 
-def supply_chain(spark: SparkSession, folder: str) -> Graph:
+def supply_chain(spark: SparkSession, folder: str, csv: bool = False) -> Graph:
+    """The graph of the delivered tables, parquet or ``csv``; suppliers are derived where they have no table."""
     from weftgraph.operators.specs import SUPPLY_CHAIN
 
-    return build(spark, folder, SUPPLY_CHAIN, {"suppliers": derived_suppliers(spark, folder)})
+    if not csv:
+        return build(spark, folder, SUPPLY_CHAIN, {"suppliers": derived_suppliers(spark, folder)})
+    names = {x.table for x in (*SUPPLY_CHAIN.nodes, *SUPPLY_CHAIN.fks, *SUPPLY_CHAIN.junctions, *SUPPLY_CHAIN.links)}
+    tables = {n: csv_table(spark, folder, n) for n in sorted(names)}
+    if tables["suppliers"] is None:
+        known = [t for t in (tables["product_suppliers"], tables["purchase_orders"]) if t is not None and "supplier_id" in t.columns]
+        tables["suppliers"] = reduce(DataFrame.unionByName, [t.select(real_key("supplier_id").alias("supplier_id")) for t in known]).distinct() if known else None
+    return build(spark, folder, SUPPLY_CHAIN, tables)
 
 
 def star(spark: SparkSession, folder: str) -> Graph:

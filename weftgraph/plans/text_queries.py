@@ -129,6 +129,12 @@ def id_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.id_tokens(table(spark, folder, "documents"), "document_id", "text").distinct()
 
 
+@query("select distinct unnest(regexp_extract_all(text, '[A-Za-z]{2,6}[0-9]{2,}')) as token, chunk_id from chunks where chunk_id is not null and text is not null")
+def chunk_token_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The inverted token table: every id-like token with the chunks that hold it."""
+    return catalog.id_tokens(_chunks(spark, folder), "chunk_id", "text").select("token", "chunk_id").distinct()
+
+
 # ---------------------------------------------------------------- triples
 
 
@@ -312,14 +318,14 @@ def _normalised(spark: SparkSession, folder: str, mode: str, **options) -> DataF
 
 @query()
 def normalize_guarded(spark: SparkSession, folder: str) -> DataFrame:
-    """Predicates to the nearest sense of their label pair by the default embedder."""
-    return _normalised(spark, folder, "guarded_override", sense_tau=0.2, sense_margin=0.02)
+    """Predicates to the nearest sense of their label pair by the default embedder, with the operator's own thresholds."""
+    return _normalised(spark, folder, "guarded_override")
 
 
 @query()
 def normalize_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Predicates of a label pair merged with those described alike."""
-    return _normalised(spark, folder, "embed_cluster", tau=0.9)
+    """Predicates of a label pair merged with those described alike, with the operator's own threshold."""
+    return _normalised(spark, folder, "embed_cluster")
 
 
 @query()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +67,7 @@ def link_question(spark: SparkSession, question: str, catalog: DataFrame) -> lis
 class PatternRetriever:
     """One read-only pattern query over the relationships that a question may use."""
 
-    def __init__(self, graph: Graph, catalog: DataFrame, chunks: DataFrame, pruner=PathPruner(), writer=PathWriter(), retries: int = 2, least_support: int = 2, prune: str = "llm", dedup: bool = True, structured_only: bool = False):
+    def __init__(self, graph: Graph, catalog: DataFrame, chunks: DataFrame, pruner=PathPruner(), writer=PathWriter(), retries: int = 2, least_support: int = 2, prune: str = "llm", dedup: bool = True, structured_only: bool = False, untyped: bool = False):
         if structured_only:
             graph = Graph(graph.nodes, graph.names, [e for e in graph.edges if e.origin == "structured"], graph.skipped, graph.pks)
             prune, dedup = "none", False
@@ -73,6 +75,9 @@ class PatternRetriever:
         self.pruner, self.writer, self.retries, self.mode = pruner, writer, retries, prune
         self.scope = introspect.Scope.of(cut(graph.all_edges()), least_support=least_support, dedup=dedup)
         self.props = introspect.node_properties(graph)
+        self.untyped = frozenset(map(frozenset, self.scope.untyped)) if untyped else frozenset()
+        extra = inspect.signature(writer.write).parameters
+        self.extra = [k for k in ("schema", "untyped") if k in extra]  # what the writer can make use of
         self.compiler = Compiler(graph)
 
     def retrieve(self, question: str, force_types: list[str] | None = None, force_query: str | None = None) -> Retrieval:
@@ -83,10 +88,11 @@ class PatternRetriever:
         except Exception:  # a pruner that fails prunes nothing
             picked = None
         types = self.scope.choose(picked, self.mode, force_types)
-        meta = {"seeds": seeds, "types": types, "n_all_types": len(self.scope.types), "schema": self.scope.text(types, self.props, [label for label, _ in seeds])}
+        meta = {"seeds": seeds, "types": types, "n_all_types": len(self.scope.types), "schema": self.scope.text(types, self.props, [label for label, _ in seeds], untyped=bool(self.untyped))}
+        told = {"schema": meta["schema"], "untyped": self.untyped}
         usable, error, text, tried = sorted(p for p in patterns if p[1] in types), None, "", []
         for attempt in range(1, self.retries + 2):
-            text = clean(force_query) if force_query is not None else clean(self.writer.write(question, seeds, usable, self.graph.pks, error))
+            text = clean(force_query) if force_query is not None else clean(self.writer.write(question, seeds, usable, self.graph.pks, error, **{k: told[k] for k in self.extra}))
             text, _ = repair_tokens(text, set(types), "[")
             text, _ = repair_tokens(text, self.scope.labels, "(")
             tried.append(text)
@@ -105,6 +111,16 @@ class PatternRetriever:
         return Retrieval("(no valid query)", [], text, meta | {"attempts": self.retries + 1, "tried": tried, "error": error})
 
 
+def entity_texts(graph: Graph) -> DataFrame:
+    """(node, text): label, id and the properties of every node that is no document, nulls left out."""
+    parts = []
+    for label, df in graph.nodes.items():
+        if label != "Document":
+            pairs = [F.concat(F.lit(f"{c}="), F.col(f"`{c}`").cast("string")) for c in sorted(df.columns) if c not in ("id", "recorded_at", graph.pks.get(label))]
+            parts.append(df.select(F.concat(F.lit(f"{label}:"), F.col("id").cast("string")).alias("node"), F.concat_ws(" ", F.lit(label), F.col("id").cast("string"), F.concat_ws(", ", *pairs)).alias("text")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @dataclass
 class GraphTables:
     """The generic tables that the graph retrievers read."""
@@ -119,7 +135,7 @@ class GraphTables:
     @classmethod
     def of(cls, graph: Graph, chunks: DataFrame, catalog: DataFrame, embedder=HashEmbedder()) -> GraphTables:
         nodes, edges = cut(graph.all_nodes()), cut(graph.all_edges())
-        names = nodes.filter("label <> 'Document'").select(graph_algo.node_of("label", "id").alias("node"), F.concat_ws(" ", "label", "id", "name").alias("text")).withColumn("id", F.xxhash64("node"))
+        names = entity_texts(graph).withColumn("id", F.xxhash64("node"))
         return cls(nodes, edges, chunks, cut(graph_algo.chunk_members(chunks, edges, nodes)), catalog, cut(embed(names, "text", embedder)))
 
     def nearest(self, phrases: list[str], k: int, embedder=HashEmbedder()) -> list[tuple[str, str, float, int]]:
@@ -133,9 +149,26 @@ class GraphTables:
 
 
 def edge_lines(edges: DataFrame) -> list[str]:
-    """Edges in words (those of one result)."""
-    rows = edges.select("s", "rel_type", "t", "origin", "confidence", F.substring("evidence", 1, 100).alias("evidence")).collect()
-    return [f"({r['s']})-[:{r['rel_type']}]-({r['t']})  origin={r['origin']}" + (f" conf={r['confidence']}" if r["confidence"] is not None and r["origin"] == "extracted" else "") + (f"  // {r['evidence']}" if r["origin"] == "extracted" and r["evidence"] else "") for r in rows]
+    """Edges in words: promoted ones with confidence and evidence, others with what their relationship means.
+
+    Those of one result: an edge is one per relationship and pair of the few nodes that were chosen.
+    """
+    out = []
+    for r in edges.select("s", "rel_type", "t", "origin", "confidence", F.substring("evidence", 1, 100).alias("evidence")).collect():
+        line = f"({r['s']})-[:{r['rel_type']}]-({r['t']})  origin={r['origin']}"
+        if r["origin"] == "extracted":
+            line += (f" conf={r['confidence']}" if r["confidence"] is not None else "") + (f"  // {r['evidence']}" if r["evidence"] else "")
+        elif r["rel_type"] in introspect.GLOSSES:
+            line += f"  // {introspect.GLOSSES[r['rel_type']]}"
+        out.append(line)
+    return out
+
+
+def chosen_texts(tables: GraphTables, chosen: list[str]) -> list[str]:
+    """The texts of the chosen nodes, in their order."""
+    rows = tables.entity_vectors.filter(F.col("node").isin(*chosen)).select("node", "text").distinct().collect() if chosen else []  # one per chosen node
+    texts = {r["node"]: r["text"] for r in rows}
+    return [texts.get(n, n) for n in chosen]
 
 
 class PageRankRetriever:
@@ -166,8 +199,8 @@ class PageRankRetriever:
         passages = [r["chunk_id"] for r in graph_algo.rank_passages(ranks, self.t.members, self.k).orderBy("rank").collect()]  # k rows
         entities = [r["node"] for r in top.orderBy("rank").collect()]  # m rows
         relations = edge_lines(graph_algo.induced_edges(self.t.edges, top))
-        context = "\n".join(["[entities]", *entities, "[relations]", *relations, "[passages]", format_chunks(fetch_chunks(self.t.chunks, passages))])
-        return Retrieval(context, [{"entity": e} for e in entities], meta={"seeds": seeds, "passages": passages, "n_relations": len(relations)})
+        context = "\n".join(["[entities]", *chosen_texts(self.t, entities), "[relations]", *relations, "[passages]", format_chunks(fetch_chunks(self.t.chunks, passages))])
+        return Retrieval(context, [{"entity": e} for e in entities], meta={"seeds": seeds, "passages": passages, "n_relations": len(relations), "kind": "graph"})
 
 
 class KeywordRetriever:
@@ -205,8 +238,8 @@ class KeywordRetriever:
         entities = cut(graph_algo.expand_entities(rows, ranked, self.ent_max))
         chunks = [r["chunk_id"] for r in graph_algo.overlap_chunks(self.t.members, entities, ranked, self.chunk_max).orderBy("rank").collect()]  # chunk_max rows
         names = [r["node"] for r in entities.orderBy("rank").collect()]  # ent_max rows
-        context = "\n".join(["[entities]", *names, "[relations]", *edge_lines(ranked.orderBy("rank")), "[passages]", format_chunks(fetch_chunks(self.t.chunks, chunks))])
-        return Retrieval(context, [{"entity": n} for n in names], meta={"seeds": seeds, "low": low, "high": high, "types": types, "passages": chunks})
+        context = "\n".join(["[entities]", *chosen_texts(self.t, names), "[relations]", *edge_lines(ranked.orderBy("rank")), "[passages]", format_chunks(fetch_chunks(self.t.chunks, chunks))])
+        return Retrieval(context, [{"entity": n} for n in names], meta={"seeds": seeds, "low": low, "high": high, "types": types, "passages": chunks, "kind": "graph"})
 
 
 class VectorRetriever:
@@ -232,17 +265,20 @@ class HybridRetriever:
     def retrieve(self, question: str) -> Retrieval:
         rows, hits = self.structured.retrieve(question), self.passages.retrieve(question)
         context = f"[A: structured]\n{rows.context}\n\n[B: documents]\n{format_chunks([(h['chunk_id'], h['text']) for h in hits])}"
-        return Retrieval(context, rows.facts, rows.query, rows.meta | {"passages": [h["chunk_id"] for h in hits]})
+        return Retrieval(context, rows.facts, rows.query, rows.meta | {"passages": [h["chunk_id"] for h in hits], "kind": "both"})
 
 
 class Router:
-    """Sends a question down the path that the rules give most points."""
+    """Sends a question down the path that the rules, or ``points`` where it is given, give most points."""
 
-    def __init__(self, hybrid: HybridRetriever):
-        self.hybrid = hybrid
+    def __init__(self, hybrid: HybridRetriever, points=None):
+        self.hybrid, self.points = hybrid, points
 
     def route(self, question: str) -> str:
         spark = self.hybrid.structured.spark
+        if self.points is not None:
+            said = self.points.points(question)
+            return spark.range(1).select(evaluate.argmax_path({p: F.lit(said.get(p)) for p in evaluate.TIE_ORDER})).first()[0]
         scores = evaluate.route_scores("q")
         return spark.createDataFrame([(question,)], "q string").select(evaluate.argmax_path(scores)).first()[0]
 
@@ -252,9 +288,9 @@ class Router:
             out = self.hybrid.structured.retrieve(question)
         elif path == "Doc":
             hits = self.hybrid.passages.retrieve(question)
-            out = Retrieval(format_chunks([(h["chunk_id"], h["text"]) for h in hits]), meta={"passages": [h["chunk_id"] for h in hits]})
+            out = Retrieval(format_chunks([(h["chunk_id"], h["text"]) for h in hits]), meta={"passages": [h["chunk_id"] for h in hits], "kind": "documents"})
         elif path == "LLM":
-            out = Retrieval("")
+            out = Retrieval("", meta={"kind": "none"})
         else:
             out = self.hybrid.retrieve(question)
         out.meta["route"] = path
@@ -273,17 +309,21 @@ def run_items(spark: SparkSession, items: list[dict], retriever, answerer=RowAns
         try:
             r = retriever.retrieve(item["q"])
             meta = r.meta
-            row |= {"answer": answerer.answer(item["q"], r.context), "route": meta.get("route"), "attempts": meta.get("attempts"), "n_facts": len(r.facts), "n_pruned": len(meta["types"]) if "n_all_types" in meta else None, "n_all_types": meta.get("n_all_types"), "error": meta.get("error")}
+            row |= {"answer": answerer.answer(item["q"], r.context, meta.get("kind", "rows")), "route": meta.get("route"), "attempts": meta.get("attempts"), "n_facts": len(r.facts), "n_pruned": len(meta["types"]) if "n_all_types" in meta else None, "n_all_types": meta.get("n_all_types"), "error": meta.get("error")}
         except Exception as e:  # an item that fails is a result too
             row["error"] = f"{type(e).__name__}: {e}"[:500]
         rows.append(row | {"seconds": round(time.perf_counter() - began, 2)})
     return spark.createDataFrame([tuple(r[c.split()[0]] for c in RESULT.split(", ")) for r in rows], RESULT)
 
 
-def markdown_report(results: DataFrame, title: str) -> str:
-    """Accuracy, latency and run summary of graded results as Markdown."""
+def markdown_report(results: DataFrame, title: str, items: bool = False) -> str:
+    """Accuracy, latency and run summary of graded results as Markdown, and with ``items`` a section per item."""
     out = [f"# {title}", "", "| kind | graded | passed | accuracy | errors |", "|---|---|---|---|---|"]
     out += ["| " + " | ".join(str(v) for v in r) + " |" for r in evaluate.accuracy(results).orderBy("kind").collect()]  # one row per kind
     for name, df in (("latency", evaluate.latency(results, "seconds")), ("runs", evaluate.run_summary(results))):
         out += ["", f"## {name}", ""] + [f"- {k}: {v}" for r in df.collect() for k, v in r.asDict().items()]  # one row
+    if items:
+        for r in results.orderBy("item_id").collect():  # the evaluation set
+            row = r.asDict()
+            out += ["", f"## {row.pop('item_id')} {row.pop('question') or ''}".rstrip(), ""] + [f"- {k}: {v}" for k, v in row.items() if v is not None]
     return "\n".join(out)

@@ -41,6 +41,7 @@ def reachable(spark: SparkSession) -> SparkSession:
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # files go once nothing refers to them
     if sc.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -32,6 +32,32 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=True, multiLine=True, escape='"', encoding="UTF-8")
 
 
+# Types of the columns of the delivered tables that are no text.
+COLUMN_TYPES = {
+    "timestamp_ntz": ["recorded_at", "removed_at", "start_time", "end_time", "event_time", "opened_at", "closed_at"],
+    "date": ["start_date", "end_date", "valid_from", "valid_to", "order_date", "expected_date", "document_date"],
+    "double": ["unit_cost", "list_price", "annual_value", "contract_unit_cost", "confidence", "hours"],
+    "int": ["safety_stock", "minimum_order_qty", "order_qty", "lead_time_days"],
+    "boolean": ["is_primary"],
+}
+
+
+def csv_table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """``name``.csv of ``folder`` by its own header, whatever the order of columns; None where it was not delivered.
+
+    A mark U+FEFF before the header is dropped. Empty values are null; columns of ``COLUMN_TYPES`` get their
+    type, a value that can't be read as such is null.
+    """
+    path = f"{folder}/{name}.csv"
+    if not exists(spark, path):
+        return None
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
+    types = {c: t for t, cs in COLUMN_TYPES.items() for c in cs}
+    named = raw.toDF(*[c.lstrip("\ufeff").strip().strip('"') for c in raw.columns])
+    value = {c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in named.columns}
+    return named.select(*[(F.try_to_date(F.substring(v, 1, 10)) if types.get(c) == "date" else v.try_cast(types[c]) if c in types else F.nullif(F.col(f"`{c}`"), F.lit(""))).alias(c) for c, v in value.items()])
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines; blank lines are no records."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
