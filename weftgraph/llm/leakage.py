@@ -171,7 +171,7 @@ class Index:
         a, b = self.offsets[t], self.offsets[t + 1]
         return self.docs[a:b].tolist(), self.weights[a:b].tolist()
 
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
+    def search(self, terms: np.ndarray | list[int]) -> list[tuple[int, float]]:
         """Every item whose BM25 score for ``terms`` reaches its threshold, by block-max WAND."""
         hits: list[tuple[int, float]] = []
         docs, weights, block_max, most = self._lists(terms)
@@ -217,11 +217,19 @@ class Index:
             cursors = [c for c in cursors if c[0] >= 0]
         return hits
 
-    def _lists(self, terms: list[int]) -> tuple[list, list, list, list]:
+    def _lists(self, terms: np.ndarray | list[int]) -> tuple[list, list, list, list]:
         """The postings of the terms; short lists over the same items are one list with the sums of their weights."""
         docs, weights, block_max, most = [], [], [], []
         short: dict[int, tuple[list[int], list[float]]] = {}
-        for t, sign in zip(terms, self.sign[terms].tolist()):
+        terms = np.asarray(terms, np.int64)
+        single = self.offsets[terms + 1] - self.offsets[terms] == 1
+        if single.any():  # most lists: those of one item each, summed at once
+            at = self.offsets[terms[single]]
+            item, place = np.unique(self.docs[at], return_inverse=True)
+            for d, w in zip(item.tolist(), np.bincount(place, self.weights[at]).tolist()):
+                short[d] = [d], [w]
+            terms = terms[~single]
+        for t, sign in zip(terms.tolist(), self.sign[terms].tolist()):
             d, w = self.list_of(t)
             if sign < 0:
                 docs.append(d)
@@ -256,7 +264,7 @@ class Index:
             query = np.unique(terms[a:b])
             if self.most[query].sum() * (1 + 1e-6) < self.floor:
                 continue
-            for d, score in self.search(query.tolist()):
+            for d, score in self.search(query):
                 if score > best.get(d, 0.0):
                     best[d] = score
         out = []
