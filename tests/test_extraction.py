@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import extraction as X
 from weftgraph.operators.normalize import normalise
+from weftgraph.plans import text_queries as T
 from weftgraph.providers import HashEmbedder, ItemFailed, Model, SchemaRefused, TemplateExtractor, cached_embeddings, extract_triples, in_parts
 
 COLS = "subject_id string, predicate string, object_id string, subject_match string, object_match string, subject_surface string, object_surface string, predicate_cue string, source_chunk_id string, source_doc_id string, chunk_text string"
@@ -217,3 +220,27 @@ def test_model_providers_read_what_a_script_answers():
     assert P.ModelWriter(m).write("q", [("Supplier", "S1")], [], {}) == "said"
     assert {k: P.ModelAnswerer(m).answer("q", "c", k) for k in P.ANSWER_FROM} == dict.fromkeys(P.ANSWER_FROM, "said")
     assert P.RowAnswerer().answer("q", "", "none") != P.RowAnswerer().answer("q", "(no passages)", "documents") == "No results were found."
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far wrote to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    gateway = spark.sparkContext._gateway
+    nothing = gateway.jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(nothing, False, False, gateway.new_array(gateway.jvm.double, 0), nothing)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_extract_provider_moves_texts_once(spark, tmp_path):
+    draw = random.Random(3)
+    noise = lambda: " ".join("".join(draw.choices("ghijklmnopqrstuv", k=16)) for _ in range(600))
+    made = [(f"c{i}", "d", f"{noise()}. Oat Milk was supplied by PRD002. {noise()}") for i in range(8)] + [(f"x{i}", "d", noise()) for i in range(400)]
+    spark.createDataFrame(made + made[:4], "chunk_id string, doc_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([("PRD001", "oat milk"), ("PRD002", "Bran")], "product_id string, product_name string").write.parquet(f"{tmp_path}/products.parquet")
+    spark.createDataFrame([], "subject_id string, object_id string").write.parquet(f"{tmp_path}/extracted_triples.parquet")
+    before = _shuffled(spark)
+    got = T.extract_provider(spark, str(tmp_path))
+    written = sum(b for s, b in _shuffled(spark).items() if s not in before)
+    assert sorted((r.subject_id, r.predicate, r.object_id, r.source_chunk_id) for r in got.collect()) == [("PRD001", "WAS_SUPPLIED_BY", "PRD002", f"c{i}") for i in range(8)]
+    assert written < 1.2 * sum(len(t) for *_, t in made)

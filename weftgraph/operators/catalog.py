@@ -1,9 +1,9 @@
 """The inventory of known entities, and how texts and names are linked to it.
 
-All matching is by equi-joins: ids through tokens, names through grams. A name lies inside
-a text (or a text inside a name) only if the first gram of the shorter one is a gram of the
-longer one, so that gram, as long as the name allows, is the join key. Texts don't go through
-these joins: what may match is joined back to its text once, and containment is checked there.
+All matching is by equi-joins: ids through tokens, names in texts through what of a text may be
+a name (``within``), values and names through grams. One lies inside the other only if the first
+gram of the shorter one is a gram of the longer one, so that gram is the join key. Texts go
+through none of these joins.
 """
 
 from __future__ import annotations
@@ -16,18 +16,15 @@ from pyspark.sql import functions as F
 from weftgraph.functions.keys import col, real_key
 from weftgraph.operators.skew import LOOK, salted_join
 from weftgraph.operators.specs import SUPPLY_CHAIN, GraphSpec
+from weftgraph.operators.within import Names
 from weftgraph.runtime import cut
 from weftgraph.sources.tables import optional_table
 
 GRAM = 4
-#: Lengths of the grams that names are looked up by; a name has the longest that it fills.
-GRAMS = (12, 8, 4, 3, 2, 1)
 #: Catalogue entries (a few short strings each, so some 10 MB) up to which they are broadcast.
 BROADCAST_ENTRIES = 100_000
 #: Names (some twenty grams each) up to which their grams are broadcast.
 BROADCAST_NAMES = 10_000
-#: Distinct first grams of names (a few characters each, so some 10 MB) up to which texts are filtered by broadcast.
-BROADCAST_GRAMS = 200_000
 #: Label of entities that only texts know.
 EXTRACTED = "ExtractedEntity"
 
@@ -92,53 +89,41 @@ def _met(rows: DataFrame, side: DataFrame, on: list[str], spread: Column, small:
     return rows.join(F.broadcast(side), on) if small else salted_join(rows, side, on, spread, how="inner", counted=counted, look=1.0)
 
 
-def link_ids(texts: DataFrame, key: str, text: str, catalog: DataFrame) -> DataFrame:
-    """(``key``, label, id): ids that stand in the text as a word, whatever their case.
+def link_ids(texts: DataFrame, key: str, text: str, catalog: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(``key``, label, id, ``also``): ids that stand in the text as a word, whatever their case.
 
     Ids must consist of word characters; then a word match is equality with a token. If every id
     holds a digit, words without one are left out before the join.
     """
-    ids = catalog.select("label", "id", F.lower("id").alias("_token"))
+    ids = catalog.select("label", "id", *also, F.lower("id").alias("_token"))
     size, numbered = catalog.agg(F.count("*"), F.coalesce(F.every(F.col("id").rlike("[0-9]")), F.lit(True))).first()
 
     def words(rows: DataFrame) -> DataFrame:
         found = rows.select(key, F.explode(_tokens(text)).alias("_token"))
         return found.filter(F.col("_token").rlike("[0-9]")) if numbered else found
 
-    return _met(words(texts), ids, ["_token"], F.col(key), size <= BROADCAST_ENTRIES, words(texts.sample(LOOK, seed=7))).select(key, "label", "id")
+    return _met(words(texts), ids, ["_token"], F.col(key), size <= BROADCAST_ENTRIES, words(texts.sample(LOOK, seed=7))).select(key, "label", "id", *also)
 
 
-def link_names(texts: DataFrame, key: str, text: str, catalog: DataFrame, least: int = 1) -> DataFrame:
-    """(``key``, label, id): names of ``least`` or more characters that lie inside the text, whatever their case.
+def link_names(texts: DataFrame, key: str, text: str, catalog: DataFrame, least: int = 1, also: tuple[str, ...] = ()) -> DataFrame:
+    """(``key``, label, id, ``also``): names of ``least`` or more characters that lie inside the text, whatever their case.
 
-    Grams and row numbers go through the joins, texts don't: each is joined once with the names that may lie in it.
+    Texts go through no join: one pass over them gives the names that stand in them, and only these are joined.
     """
-    names = catalog.filter(F.length("name") >= F.lit(max(1, least))).select("label", "id", F.lower("name").alias("_name"))
-    size = F.length("_name")
-    gram = F.substring("_name", 1, GRAMS[-1])
-    for n in reversed(GRAMS[:-1]):
-        gram = F.when(size >= n, F.substring("_name", 1, n)).otherwise(gram)
-    names = cut(names.withColumn("_gram", gram))
-    lengths = sorted(r[0] for r in names.select(F.length("_gram")).distinct().collect())  # at most those of GRAMS
-    if not lengths:
-        return texts.select(key).limit(0).withColumns({"label": F.lit(""), "id": F.lit("")})
-    wanted = names.select("_gram").distinct()
-    known, few = names.count(), wanted.count() <= BROADCAST_GRAMS
-    # equal rows have the same number; rows that happen to share one are told apart below, since each is checked itself
-    lowered = texts.select(key, F.lower(text).alias("_text")).withColumn("_row", F.xxhash64(key, "_text"))
-
-    def grams(rows: DataFrame) -> DataFrame:
-        listed = rows.select("_row", F.explode(F.concat(*[_grams(F.col("_text"), n) for n in lengths])).alias("_gram"))
-        return listed.join(F.broadcast(wanted) if few else wanted, "_gram", "left_semi")
-
-    near = _met(grams(lowered), names, ["_gram"], F.col("_row"), known <= BROADCAST_ENTRIES, grams(lowered.sample(LOOK, seed=7)))
-    return lowered.join(near.select("_row", "label", "id", "_name"), "_row").filter(F.contains("_text", "_name")).select(key, "label", "id").distinct()
-
-
-def link_entities(texts: DataFrame, key: str, text: str, catalog: DataFrame, least: int = 1) -> DataFrame:
-    """(``key``, label, id, match): ids (match ``id``) before names (``name``), one row per entity and text."""
-    both = link_ids(texts, key, text, catalog).withColumn("match", F.lit("id")).unionByName(link_names(texts, key, text, catalog, least).withColumn("match", F.lit("name")))
-    return both.groupBy(key, "label", "id").agg(F.min("match").alias("match"))
+    names = cut(catalog.filter(F.length("name") >= F.lit(max(1, least))).select("label", "id", *also, F.lower("name").alias("_name")))
+    known = names.count()
+    marks = Names(names, "_name", known)
+    found = lambda rows: marks.inside(rows.select(key, F.lower(text).alias("_text")), key, "_text")
+    return _met(found(texts), names, ["_name"], F.col(key), known <= BROADCAST_ENTRIES, found(texts.sample(LOOK, seed=7))).select(key, "label", "id", *also).distinct()
+
+
+def link_entities(texts: DataFrame, key: str, text: str, catalog: DataFrame, least: int = 1, also: tuple[str, ...] = ()) -> DataFrame:
+    """(``key``, label, id, ``also``, match): ids (match ``id``) before names (``name``), one row per entity and text.
+
+    ``also`` are further columns of the catalogue that are given with the entity.
+    """
+    both = link_ids(texts, key, text, catalog, also).withColumn("match", F.lit("id")).unionByName(link_names(texts, key, text, catalog, least, also).withColumn("match", F.lit("name")))
+    return both.groupBy(key, "label", "id", *also).agg(F.min("match").alias("match"))
 
 
 def link_online(texts: DataFrame, key: str, text: str, catalog: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import catalog, chunking, extraction
-from weftgraph.operators.skew import salted_join
 from weftgraph.plans import graph_queries as G
 from weftgraph.plans import sql_base as S
 from weftgraph.runtime import cut
@@ -302,10 +301,8 @@ def extract_provider(spark: SparkSession, folder: str) -> DataFrame:
     """Raw triples of every chunk with two or more known entities, by id or name, by the default extractor."""
     from weftgraph.providers import extract_triples
 
-    chunks = table(spark, folder, "chunks").select("chunk_id", "doc_id", "text").filter("chunk_id is not null and text is not null").distinct()
-    known = G.project_catalog(spark, folder)
-    links = catalog.link_entities(chunks, "chunk_id", "text", known)
-    return extract_triples(chunks, salted_join(links, known.select("label", "id", "name"), ["label", "id"], F.col("chunk_id"), how="left"))
+    chunks = table(spark, folder, "chunks").select("chunk_id", "doc_id", "text").filter("chunk_id is not null and text is not null")
+    return extract_triples(chunks, catalog.link_entities(chunks, "chunk_id", "text", G.project_catalog(spark, folder), also=("name",)))
 
 
 def _normalised(spark: SparkSession, folder: str, mode: str, **options) -> DataFrame:

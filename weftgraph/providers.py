@@ -140,7 +140,7 @@ def extract_triples(chunks: DataFrame, links: DataFrame, extractor=TemplateExtra
     takes_names = "name" in links.columns and "names" in inspect.signature(extractor.extract).parameters
     named = F.when(F.col("name").isNotNull(), F.struct("id", "name")) if takes_names else F.lit(None).cast("struct<id:string,name:string>")
     candidates = links.groupBy("chunk_id").agg(F.array_sort(F.collect_set("id")).alias("candidates"), F.array_sort(F.collect_set(named)).alias("names")).filter(F.size("candidates") >= least)
-    todo = chunks.select("chunk_id", "doc_id", "text").distinct().join(candidates, "chunk_id")
+    todo = chunks.select("chunk_id", "doc_id", "text").repartition("chunk_id").distinct().join(candidates, "chunk_id")  # texts move once
     if limit is not None:
         todo = todo.orderBy("chunk_id").limit(limit)
 
