@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +223,15 @@ def test_model_providers_read_what_a_script_answers():
     assert P.RowAnswerer().answer("q", "", "none") != P.RowAnswerer().answer("q", "(no passages)", "documents") == "No results were found."
 
 
+def test_words_are_found_as_by_their_patterns():
+    draw = random.Random(5)
+    for _ in range(3000):
+        text = "".join(draw.choices(["a", "A", "b", "_", "1", " ", ".", "(", "aB1", "\u212a", "k"][: draw.choice([9, 11])], k=draw.randrange(20)))
+        what = "".join(draw.choices("aAbk_1 (", k=draw.randrange(1, 5)))
+        for pattern in (rf"\b{re.escape(what)}\b", rf"(?<!\w){re.escape(what)}(?!\w)"):
+            assert TemplateExtractor._spans(text, text.lower(), what, pattern) == [m.span() for m in re.finditer(pattern, text, re.I)]
+
+
 def _shuffled(spark):
     """Bytes that all stages so far wrote to shuffles."""
     sc = spark.sparkContext._jsc.sc()

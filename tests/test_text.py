@@ -47,6 +47,15 @@ def test_ids_of_letters_only_are_linked(spark, cat, rows):
     assert rows(C.link_ids(texts, "k", "t", more)) == [("a", "Product", "PRD001"), ("a", "Region", "WEST")]
 
 
+def test_ids_of_any_kind_are_linked(spark, rows):
+    for ids in (["7"], ["7", "A1B"], ["AB", "42"], ["Ü1", "é"], ["İ9"], []):
+        known = spark.createDataFrame([("L", i) for i in ids], "label string, id string")
+        texts = spark.createDataFrame([("a", "7 x a1b ab 42"), ("b", "77 a1bc ü1 É abc 4"), ("c", "i̇9 İ9")], "k string, t string")
+        low = {i: i.lower() for i in ids}
+        want = [(k, "L", i) for k, t in rows(texts) for i in ids if low[i] in t.lower().split()]
+        assert rows(C.link_ids(texts, "k", "t", known)) == sorted(want, key=str)
+
+
 def test_resolution_cascade(spark, cat):
     values = spark.createDataFrame([(v,) for v in (" prd001", "OAT MILK", "oat milk 1l", "milk", "Mi", "ab", "cable", None, "oat")], "value string")
     got = {r.value: (r.id, r.how) for r in C.resolve_values(values, "value", cat).collect()}

@@ -92,15 +92,19 @@ def _met(rows: DataFrame, side: DataFrame, on: list[str], spread: Column, small:
 def link_ids(texts: DataFrame, key: str, text: str, catalog: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """(``key``, label, id, ``also``): ids that stand in the text as a word, whatever their case.
 
-    Ids must consist of word characters; then a word match is equality with a token. If every id
-    holds a digit, words without one are left out before the join.
+    Ids must consist of word characters; then a word match is equality with a token. Words shorter or
+    longer than every id are left out before the join, and, if every id holds a digit or a letter, those without one.
     """
     ids = catalog.select("label", "id", *also, F.lower("id").alias("_token"))
-    size, numbered = catalog.agg(F.count("*"), F.coalesce(F.every(F.col("id").rlike("[0-9]")), F.lit(True))).first()
+    token = F.col("_token")
+    every = [F.coalesce(F.every(token.rlike(p)), F.lit(True)) for p in ("[0-9]", "[a-z]")]
+    size, shortest, longest, numbered, lettered = ids.agg(F.count("*"), F.coalesce(F.min(F.length(token)), F.lit(0)), F.coalesce(F.max(F.length(token)), F.lit(0)), *every).first()
 
     def words(rows: DataFrame) -> DataFrame:
-        found = rows.select(key, F.explode(_tokens(text)).alias("_token"))
-        return found.filter(F.col("_token").rlike("[0-9]")) if numbered else found
+        found = rows.select(key, F.explode(_tokens(text)).alias("_token")).filter(F.length(token).between(shortest, longest))
+        for p in ["[0-9]"] * numbered + ["[a-z]"] * lettered:
+            found = found.filter(token.rlike(p))
+        return found
 
     return _met(words(texts), ids, ["_token"], F.col(key), size <= BROADCAST_ENTRIES, words(texts.sample(LOOK, seed=7))).select(key, "label", "id", *also)
 

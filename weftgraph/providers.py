@@ -104,21 +104,38 @@ class TemplateExtractor:
 
     reach: int = 60
 
+    @staticmethod
+    def _spans(text: str, low: str, what: str, pattern: str) -> list[tuple[int, int]]:
+        """Where ``what`` stands as a word, whatever its case: what ``pattern`` finds, which is not compiled where all is ASCII."""
+        word = lambda c: c.isalnum() or c == "_"
+        if not (text.isascii() and what.isascii() and word(what[:1]) and word(what[-1:])):
+            return [m.span() for m in re.finditer(pattern, text, re.I)]
+        what = what.lower()
+        out, at = [], low.find(what)
+        while at >= 0:
+            end = at + len(what)
+            whole = not (at and word(low[at - 1])) and not word(low[end : end + 1])
+            if whole:
+                out.append((at, end))
+            at = low.find(what, end if whole else at + 1)
+        return out
+
     def _named(self, text: str, names: list[tuple[str, str]], taken: list[tuple[int, int]]) -> dict[tuple[int, int], list[str]]:
         """Where names stand, longer ones first, apart from each other and from what is taken; equal names stand for all their ids."""
-        ids, found = {}, {}
+        ids, found, low = {}, {}, text.lower()
         for i, name in names:
             ids.setdefault(name.lower(), set()).add(i)
         for name in sorted(ids, key=lambda n: (-len(n), n)):
-            for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text, re.I):
-                if all(m.end() <= a or m.start() >= b for a, b in [*taken, *found]):
-                    found[m.span()] = sorted(ids[name])
+            for start, end in self._spans(text, low, name, rf"(?<!\w){re.escape(name)}(?!\w)"):
+                if all(end <= a or start >= b for a, b in [*taken, *found]):
+                    found[start, end] = sorted(ids[name])
         return found
 
     def extract(self, text: str, candidates: list[str], names: list[tuple[str, str]] = ()) -> list[dict]:
         """``names``: (id, name) of candidates."""
         text = text or ""
-        by_id = [(*m.span(), c) for c in candidates for m in re.finditer(rf"\b{re.escape(c)}\b", text, re.I)]
+        low = text.lower()
+        by_id = [(*span, c) for c in candidates for span in self._spans(text, low, c, rf"\b{re.escape(c)}\b")]
         named = self._named(text, names, [(a, b) for a, b, _ in by_id])
         spots = sorted([(a, b, [c]) for a, b, c in by_id] + [(a, b, c) for (a, b), c in named.items()])
         out = []
